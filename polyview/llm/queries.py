@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.llm import language, licenses, pseudonyms, repetition, toxicity
-from polyview.llm.common import fold
+from polyview.llm import idstore, language, licenses, packing, pseudonyms, repetition, toxicity
+from polyview.llm.common import fold, new_path
 
 PII_KEY = b"polyview-demonstration-key"
 
@@ -15,10 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "store")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    idstore.write_store(docs, path, tokenizer("byte_bpe_50k.json"), end_id=0)
+    return idstore.read_digests(spark, path, docs.schema["doc_id"].dataType.simpleString())
+
+
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
@@ -40,7 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op6_token_store, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
 
 
 def _license_sql() -> str:
