@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.llm import idstore, language, licenses, packing, pseudonyms, repetition, toxicity
+from polyview.llm import decontaminate, idstore, language, licenses, packing, pseudonyms, repetition, toxicity
 from polyview.llm.common import fold, new_path
 
 PII_KEY = b"polyview-demonstration-key"
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer(name: str) -> str:
     """Path of a public vocabulary file, the same on all machines."""
     import public_tokenizers
@@ -58,7 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_license_scan, op6_token_store, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_best_fit_packing, op4_license_scan, op6_token_store, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
 
 
 def _license_sql() -> str:
@@ -80,4 +84,18 @@ SELECT d.doc_id, coalesce(l, '') AS license_ids, coalesce(n, 0) AS n_units, coal
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN per ON d.doc_id = per.doc_id"""
 
 
-ORACLES = {"op4_license_scan": _license_sql()}
+#: Items here have 13 words at least. A window that fits has an equal word among its first three, so windows are tried there.
+_LEAK_SQL = """
+WITH d AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS x, len(w) AS m FROM (
+       SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents)),
+b AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS q, unnest(w) AS x, len(w) AS n FROM (
+       SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM benchmark) WHERE len(w) >= 13),
+same AS (SELECT doc_id, item_id, p - q AS diag, q, m, n FROM d JOIN b USING (x)),
+dense AS (SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diag) >= 11),
+tried AS (SELECT DISTINCT doc_id, item_id, diag, q - k AS a FROM dense, range(3) AS r(k)
+          WHERE q - k >= 0 AND q - k + 13 <= n AND q - k + diag >= 0 AND q - k + diag + 13 <= m),
+fits AS (SELECT t.doc_id, t.item_id, t.diag, t.a, count(*) AS same FROM tried t JOIN dense s
+         ON t.doc_id = s.doc_id AND t.item_id = s.item_id AND t.diag = s.diag AND s.q BETWEEN t.a AND t.a + 12 GROUP BY ALL HAVING count(*) >= 11)
+SELECT doc_id, item_id, min(a + diag)::BIGINT AS first_word, max(a + diag + 12)::BIGINT AS last_word, max(same)::BIGINT AS best FROM fits GROUP BY doc_id, item_id"""
+
+ORACLES = {"op2_decontamination": _LEAK_SQL, "op4_license_scan": _license_sql()}
