@@ -87,9 +87,9 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN per ON d.doc_id = per.d
 #: Items here have 13 words at least. A window that fits has an equal word among its first three, so windows are tried there.
 _LEAK_SQL = """
 WITH d AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS x, len(w) AS m FROM (
-       SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents)),
+       SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)),
 b AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS q, unnest(w) AS x, len(w) AS n FROM (
-       SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM benchmark) WHERE len(w) >= 13),
+       SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 13),
 same AS (SELECT doc_id, item_id, p - q AS diag, q, m, n FROM d JOIN b USING (x)),
 dense AS (SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diag) >= 11),
 tried AS (SELECT DISTINCT doc_id, item_id, diag, q - k AS a FROM dense, range(3) AS r(k)
