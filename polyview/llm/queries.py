@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.llm import decontaminate, idstore, language, licenses, packing, pseudonyms, repetition, toxicity
+from polyview.llm import decontaminate, idstore, jaccard, language, licenses, packing, pseudonyms, repetition, toxicity
 from polyview.llm.common import fold, new_path
 
 PII_KEY = b"polyview-demonstration-key"
@@ -34,6 +34,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "store")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,7 +66,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_best_fit_packing, op4_license_scan, op6_token_store, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_best_fit_packing, op4_license_scan, op5_ngram_jaccard, op6_token_store, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
 
 
 def _license_sql() -> str:
