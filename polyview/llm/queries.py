@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.llm import decontaminate, idstore, jaccard, language, licenses, packing, pseudonyms, repetition, toxicity
+from polyview.llm import decontaminate, idstore, jaccard, language, licenses, packing, pitman_yor, pseudonyms, repetition, toxicity
 from polyview.llm.common import fold, new_path
 
 PII_KEY = b"polyview-demonstration-key"
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score(docs, fold("doc_id", 7) != 2).withColumn("held_out", fold("doc_id", 7) == 2)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_best_fit_packing, op4_license_scan, op5_ngram_jaccard, op6_token_store, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_decontamination, op3_best_fit_packing, op4_license_scan, op5_ngram_jaccard, op6_token_store, op7_pii_pseudonyms, op8_repetition, op9_toxicity, op10_language)}
 
 
 def _license_sql() -> str:
