@@ -25,7 +25,7 @@ _ODD = "\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-
 class Encoder:
     """keeps_spaces: whether the vocabulary has tokens for white space (byte-level) or drops it."""
 
-    def __init__(self, path: str, keeps_spaces: bool, dtype: str = "<u4", limit: int = 800_000):
+    def __init__(self, path: str, keeps_spaces: bool, dtype: str = "<u4", limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,6 +35,7 @@ class Encoder:
         self.odd = re.compile("|".join([f"[{_ODD}]", *specials]))
         self.piece, self.dtype, self.limit = _PIECE[keeps_spaces], np.dtype(dtype), limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # pieces move on from here when they are met again
 
     def whole(self, text: str) -> bytes:
         text = text.encode("utf-8", "replace").decode()
@@ -44,14 +45,17 @@ class Encoder:
         """The ids of each text as little-endian integers; none for a null."""
         texts = list(texts)
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         cut: dict[str | None, list[str] | None] = {t: None for t in texts}
         new: set[str] = set()
         for t in cut:
             if not (t and self.odd.search(t)):
                 cut[t] = self.piece.findall(t or "")
                 new.update(cut[t])
-        self._learn([p for p in new if p not in self.known])
+        new.difference_update(self.known)
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        self._learn(list(new - again))
         get = self.known.__getitem__
         done = {t: self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in cut.items()}
         return [done[t] for t in texts]
