@@ -52,10 +52,14 @@ class Encoder:
             if not (t and self.odd.search(t)):
                 cut[t] = self.piece.findall(t or "")
                 new.update(cut[t])
-        new.difference_update(self.known)
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        self._learn(list(new - again))
+        fresh = []
+        for p in new:
+            if p not in self.known:
+                if p in self.older:
+                    self.known[p] = self.older[p]
+                else:
+                    fresh.append(p)
+        self._learn(fresh)
         get = self.known.__getitem__
         done = {t: self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in cut.items()}
         return [done[t] for t in texts]
