@@ -57,21 +57,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     if sum(some.values()) <= MAX_BROADCAST:
         known = F.broadcast(known)
     used = [k for k in range(len(MASKS)) if some.get(k == 2)]
-    own = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("d")).where(F.size("d") >= MIN_WORDS)
-    at = own.select("doc_id", "d", F.explode(F.sequence(F.lit(0), F.size("d") - 1)).alias("p"))
-    if not used:
-        used = [0]
-    tried = at.select("doc_id", "d", "p", F.explode(F.array(*[_seed(F.col("d"), F.col("p"), k) for k in used])).alias("h"))
-    hits = tried.join(known, "h")
-    # Equal words at each place of the item's stretch, then each window in it.
+    own = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("d"))
+    # outer: else the planner adds a filter that computes the words twice
+    at = own.select("doc_id", "d", F.explode_outer(F.sequence(F.lit(0), F.size("d") - 1)).alias("p"))
+    tried = at.select("doc_id", "d", "p", F.explode(F.array(*[_seed(F.col("d"), F.col("p"), k) for k in used or [0]])).alias("h"))
+    # Only the words around a hit leave the stage in which the text is read, not the text. The last column keeps the planner
+    # from moving the verification, which isn't compiled, into the join.
     start = F.col("p") - F.col("q") + F.col("lo")
-    equal = F.transform(F.sequence(F.lit(0), F.size("near") - 1), lambda k: F.coalesce((F.get("d", F.col("start") + k) == F.get("near", k)).cast("int"), F.lit(0)))
-    windows = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("w")), lambda k: F.aggregate(F.slice("equal", k + 1, F.col("w")), F.lit(0), lambda a, x: a + x))
-    fits = F.filter(
-        F.transform("windows", lambda x, k: F.struct(x.alias("same"), (F.col("start") + k).alias("at"))),
-        lambda x: (x["same"] >= F.col("w") - F.col("miss")) & (x["at"] >= 0) & (x["at"] + F.col("w") <= F.size("d")),
+    first = F.greatest(start, F.lit(0))
+    hits = tried.join(known, "h").select(
+        "doc_id", "item_id", "w", "miss", "near", start.alias("start"), F.size("d").alias("size"), F.slice("d", first + 1, F.greatest(F.lit(0), F.size("near") - (first - start))).alias("own"), (first - start).alias("skip"), F.monotonically_increasing_id().alias("_apart")
     )
-    found = hits.withColumn("start", start).withColumn("equal", equal).withColumn("windows", windows).withColumn("fits", fits).where(F.size("fits") > 0)
+    # Equal words at each place of the item's stretch, then each window in it.
+    equal = F.transform(F.sequence(F.lit(0), F.size("near") - 1), lambda k: F.coalesce((F.get("own", k - F.col("skip")) == F.get("near", k)).cast("int"), F.lit(0)))
+    windows = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("w")), lambda k: F.struct(F.aggregate(F.slice("equal", k + 1, F.col("w")), F.lit(0), lambda a, x: a + x).alias("same"), (F.col("start") + k).alias("at")))
+    fits = F.filter(windows, lambda x: (x["same"] >= F.col("w") - F.col("miss")) & (x["at"] >= 0) & (x["at"] + F.col("w") <= F.col("size")))
+    found = hits.withColumn("equal", equal).withColumn("fits", fits).where((F.size("fits") > 0) & (F.col("_apart") >= 0))
     found = found.select("doc_id", "item_id", F.array_min(F.transform("fits", lambda x: x["at"])).alias("a"), (F.array_max(F.transform("fits", lambda x: x["at"])) + F.col("w") - 1).alias("b"), F.array_max(F.transform("fits", lambda x: x["same"])).alias("m"))
     return found.groupBy("doc_id", "item_id").agg(F.min("a").cast("long").alias("first_word"), F.max("b").cast("long").alias("last_word"), F.max("m").cast("long").alias("best"))
 
