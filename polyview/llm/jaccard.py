@@ -43,6 +43,7 @@ SHARED = 3
 FREQUENT, FILTER_BITS = 1 << 17, 1 << 27
 #: Sets above this are always heavy, and this share of tokens is counted to measure lists.
 MOST_LIGHT, SAMPLE = 40, 1 << 12
+_BLOCK = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,9 +167,16 @@ def _shared_filter(sets: DataFrame) -> np.ndarray:
     """A bit for each hash slot that a token listed by two or more rows falls in; FILTER_BITS whatever the input."""
     keys = sets.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
     slot = keys.select((F.col("key").bitwiseAND(FILTER_BITS - 1)).alias("s"))
-    words = slot.groupBy(F.shiftright("s", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits")).toPandas()
+    words = slot.groupBy(F.shiftright("s", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
+
+    def filled(t: pa.Table) -> pa.Table:
+        w, block = t.column("w").to_numpy(), np.zeros(_BLOCK, np.uint32)
+        block[w % _BLOCK] = t.column("bits").to_numpy().astype(np.uint32)
+        return pa.table({"b": pa.array([w[0] // _BLOCK], pa.int32()), "block": pa.array([block.tobytes()], pa.binary())})
+
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    for r in words.groupBy((F.col("w") / _BLOCK).cast("int")).applyInArrow(filled, "b int, block binary").collect():  # FILTER_BITS in all
+        out[r["b"] * _BLOCK : (r["b"] + 1) * _BLOCK] = np.frombuffer(bytes(r["block"]), np.uint32)
     return out
 
 
