@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.llm.common import Memo, drop_stored, lowered_words, mixed, stored
+from polyview.llm.common import Memo, drop_stored, lowered_words, mixed, shuffle_parts, stored
 
 RARE = np.uint64(1 << 63)
 #: A word can't hold white space, so this is no word.
 END = xxhash.xxh3_64_intdigest(b"\n")
 CONTEXT_BITS, HOT, EXACT = 20, 1 << 17, 128
-STEP_TOKENS, PART_TOKENS, BURN_IN, SAMPLES = 1_500_000, 3_000_000, 1, 2
+STEP_TOKENS, PART_TOKENS, BURN_IN, SAMPLES = 800_000, 2_000_000, 1, 2
 _COLUMNS = ("key", "n", "word", "at", "m")
 _BLOB = "p int, batch long, key binary, n binary, word binary, at binary, m binary"
 
@@ -139,7 +139,7 @@ def _vocabulary(docs: DataFrame, common: int) -> Words:
     drop_stored(table)
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
     tokens = int(r[0] or 0)
-    return Words(top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order], tokens, int(r[1]), discount(r[2], r[3]), max(1, -(-tokens // PART_TOKENS)))
+    return Words(top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order], tokens, int(r[1]), discount(r[2], r[3]), max(shuffle_parts(docs.sparkSession), -(-tokens // PART_TOKENS)))
 
 
 def discount(once: float, twice: float) -> float:
