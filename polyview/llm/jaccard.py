@@ -43,7 +43,9 @@ SHARED = 3
 FREQUENT, FILTER_BITS = 1 << 17, 1 << 27
 #: Sets above this are always heavy, and this share of tokens is counted to measure lists.
 MOST_LIGHT, SAMPLE = 40, 1 << 12
+SKETCH = 256
 _BLOCK = 1 << 15
+_SKETCH = [f"k{k}" for k in range(SKETCH // 64)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,7 +130,8 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int, percent: int, light: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, size, same (digest of the set), keys (listed tokens in order), parts and part_sizes (subset keys)."""
+    """doc_id, size, same (digest of the set), keys (listed tokens in order), parts and part_sizes (subset keys), and
+    sketch: for each of SKETCH buckets of hashes, whether the set has an odd number of tokens there."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def ordered(h: np.ndarray, most: int) -> np.ndarray:
@@ -147,27 +150,27 @@ def _sets(docs: DataFrame, n: int, percent: int, light: int, frequent: tuple[np.
         memo = word_memo()
         lists = lambda rows, dtype, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype), *rows]).astype(dtype), kind))
         for b in batches:
-            size, same, keys, parts, part_sizes = [], [], [], [], []
+            size, same, keys, parts, part_sizes, sketch = [], [], [], [], [], []
             for t in b.column("text").to_pylist():
                 h = hashed(lowered_words(t), n, memo)
                 s = len(h)
                 size.append(s)
                 same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                odd = np.bincount((h >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(bool)).view(np.int64))
                 heavy = s and s * 100 // percent > light
                 keys.append(ordered(h, s - least_overlap(s, percent) + SHARED).view(np.int64) if heavy else np.empty(0, np.int64))
                 p = subsets(h, percent) if 0 < s <= light else ([], [])
                 parts.append(np.array(p[0], np.int64))
                 part_sizes.append(np.array(p[1], np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), lists(keys, np.int64, pa.int64()), lists(parts, np.int64, pa.int64()), lists(part_sizes, np.int64, pa.int64())], ["doc_id", "size", "same", "keys", "parts", "part_sizes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(same, pa.binary()), lists(keys, np.int64, pa.int64()), lists(parts, np.int64, pa.int64()), lists(part_sizes, np.int64, pa.int64()), lists(sketch, np.int64, pa.int64())], ["doc_id", "size", "same", "keys", "parts", "part_sizes", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, same binary, keys array<long>, parts array<long>, part_sizes array<long>")
+    return docs.mapInArrow(run, "doc_id long, size long, same binary, keys array<long>, parts array<long>, part_sizes array<long>, sketch array<long>")
 
 
-def _shared_filter(sets: DataFrame) -> np.ndarray:
-    """A bit for each hash slot that a token listed by two or more rows falls in; FILTER_BITS whatever the input."""
-    keys = sets.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
-    slot = keys.select((F.col("key").bitwiseAND(FILTER_BITS - 1)).alias("s"))
-    words = slot.groupBy(F.shiftright("s", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
+def _bits(slots: DataFrame) -> np.ndarray:
+    """A bit for each of FILTER_BITS slots, set where column ``s`` names it; the size is the same whatever the input."""
+    words = slots.groupBy(F.shiftright("s", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
 
     def filled(t: pa.Table) -> pa.Table:
         w, block = t.column("w").to_numpy(), np.zeros(_BLOCK, np.uint32)
@@ -180,6 +183,31 @@ def _shared_filter(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def _shared_filter(sets: DataFrame) -> np.ndarray:
+    """The slots of tokens that two or more rows list."""
+    keys = sets.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
+    return _bits(keys.select(F.col("key").bitwiseAND(FILTER_BITS - 1).alias("s")))
+
+
+def _slot(c: str):
+    return F.xxhash64(c).bitwiseAND(FILTER_BITS - 1)
+
+
+def _having(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of the nodes. A filter of fixed size drops most others where they are read, so that only what is needed
+    (and a few more) is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(nodes.select(_slot("node").alias("s"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = b.column("slot").to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
+            yield b.take(pa.array(keep)).select(["doc_id", "text"])
+
+    few = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
+    return few.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+
+
 def _passed(sets: DataFrame, bits: np.ndarray) -> DataFrame:
     """doc_id, size, same, parts, part_sizes, and of keys those that pass, with their places."""
     shared = sets.sparkSession.sparkContext.broadcast(bits)
@@ -195,15 +223,15 @@ def _passed(sets: DataFrame, bits: np.ndarray) -> DataFrame:
             place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(lengths)))]), pa.int32())
             more = [pa.ListArray.from_arrays(offsets, pa.array(x[keep], pa.int64())) for x in (values, place)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("size"), b.column("same"), b.column("parts"), b.column("part_sizes"), *more], ["doc_id", "size", "same", "parts", "part_sizes", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("size"), b.column("same"), b.column("parts"), b.column("part_sizes"), b.column("sketch"), *more], ["doc_id", "size", "same", "parts", "part_sizes", "sketch", "keys", "places"])
 
-    return sets.mapInArrow(run, "doc_id long, size long, same binary, parts array<long>, part_sizes array<long>, keys array<long>, places array<long>")
+    return sets.mapInArrow(run, "doc_id long, size long, same binary, parts array<long>, part_sizes array<long>, sketch array<long>, keys array<long>, places array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose texts link; b repeats more, and its set is kept while it does."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = stored(docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
+    texts = stored(_having(docs, stored(nodes, "nodes")), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,27 +270,32 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     heads = stored(sets.where("size > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node")), "heads")
     own = _passed(sets.where("size > 0 and doc_id is not null"), _shared_filter(sets)).where("size(keys) > 0 or size(parts) > 0")
     own = own.join(heads.select("node", F.col("same").alias("_same")), (F.col("doc_id") == F.col("node")) & (F.col("same") == F.col("_same")))
-    own = stored(own.select("node", "size", "keys", "places", "parts", "part_sizes"), "own")
+    own = stored(own.select("node", "size", "keys", "places", "parts", "part_sizes", "sketch"), "own")
 
     # Heavy: list entries of tokens that two nodes list; reach: the most that a node can have in common with another.
     entries = own.select("node", "size", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("node", "size", "e.keys", "e.places").toDF("node", "size", "key", "place").distinct()
     often = entries.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
     entries = stored(entries.join(often, F.col("key") == F.col("_key"), "left_semi"), "entries")
     reach = entries.groupBy("node").agg(F.min("place").alias("_first"), F.count("*").alias("_n")).where(f"_n >= {SHARED}").select(F.col("node").alias("_node"), "_first")
-    lists = stored(entries.join(reach, F.col("node") == F.col("_node")).select("node", "size", "key", "place", (F.col("size") - F.col("_first")).alias("reach")), "lists")
+    marks = own.select(F.col("node").alias("_own"), *[F.get("sketch", k).alias(f"k{k}") for k in range(SKETCH // 64)]).dropDuplicates(["_own"])
+    reach = reach.join(marks, F.col("_node") == F.col("_own"))
+    lists = stored(entries.join(reach, F.col("node") == F.col("_node")).select("node", "size", "key", "place", (F.col("size") - F.col("_first")).alias("reach"), *_SKETCH), "lists")
     part = own.select("node", "size", F.explode(F.arrays_zip("parts", "part_sizes")).alias("e")).select("node", "size", "e.parts", "e.part_sizes").toDF("node", "size", "key", "common").distinct()
     often = part.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
     part = stored(part.join(often, F.col("key") == F.col("_key"), "left_semi"), "parts")
 
     # Sizes s and t with overlap c link if 100 c >= percent (s + t - c).
     enough = f"cast(ceil({percent} * (size + size2) / {100 + percent}.0) as long)"
-    may = F.expr(f"least(reach, reach2) >= {enough} and least(size, size2) >= {enough} and least(place, place2) + least(size - place, size2 - place2) >= {enough}")
+    # Each token in one set alone flips one bit of the sketches' difference at most.
+    apart = " + ".join(f"bit_count(k{k} ^ k{k}2)" for k in range(SKETCH // 64))
+    near = F.expr(f"size + size2 - ({apart}) >= 2 * {enough}")
+    may = near & F.expr(f"least(reach, reach2) >= {enough} and least(size, size2) >= {enough} and least(place, place2) + least(size - place, size2 - place2) >= {enough}")
     sure = F.expr(f"100 * common >= {percent} * (size + size2 - common)")
     pairs = lambda x: x.groupBy("a", "b").agg(F.count("*").alias("_n")).where(f"_n >= {SHARED}").select("a", "b")
 
     # First to one centre of each list: the entry with the earliest place, which has most in common with the rest.
     rank = F.expr("shiftleft(place, 40) | (xxhash64(node) & 1099511627775L)")
-    centre = lists.withColumn("_o", rank).groupBy("key").agg(F.min_by("node", "_o").alias("node2"), F.min_by("size", "_o").alias("size2"), F.min_by("reach", "_o").alias("reach2"), F.min("place").alias("place2")).withColumnRenamed("key", "key2")
+    centre = lists.withColumn("_o", rank).groupBy("key").agg(F.min_by("node", "_o").alias("node2"), F.min_by("size", "_o").alias("size2"), F.min_by("reach", "_o").alias("reach2"), F.min("place").alias("place2"), *[F.min_by(c, "_o").alias(f"{c}2") for c in _SKETCH]).withColumnRenamed("key", "key2")
     tried = lists.join(centre, F.expr("key = key2 and node <> node2") & may).select(F.col("node").alias("a"), F.col("node2").alias("b"))
     tried = stored(pairs(tried), "tried")
     links = _verified(tried, docs, n, percent)
@@ -282,7 +315,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_i
         other = table.select(*[F.col(c).alias(f"{c}2") for c in names])
         return table.join(other, F.expr("key = key2 and c <> c2 and node < node2") & on).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
-    rest = pairs(between(split(lists), ["key", "node", "size", "place", "reach", "c"], may))
+    rest = pairs(between(split(lists), ["key", "node", "size", "place", "reach", "c", *_SKETCH], may))
     done = tried.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
     rest = stored(rest.join(done, F.expr("a = _a and b = _b"), "left_anti"), "rest")
     more = _verified(rest, docs, n, percent).unionByName(between(split(part), ["key", "node", "size", "c"], sure))
