@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from polyview.llm.common import mixed, shuffle_parts
 from polyview.llm.tokens import encoder
 
-WINDOW, MASK, LEAST, MOST = 8, 511, 128, 2048
+WINDOW, MASK, LEAST, MOST = 4, 511, 128, 2048
 DIGEST = 16
 _SCHEMA = "kind string, bucket int, doc_id {id}, row long, start long, n_tokens long, keys binary, root binary, key binary, ids binary"
 

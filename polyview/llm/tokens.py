@@ -31,12 +31,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        specials = [re.escape(str(t.content)) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([f"[{_ODD}]", *specials]))
+        self.specials = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile(f"[{_ODD}]")
         self.piece, self.dtype, self.limit = _PIECE[keeps_spaces], np.dtype(dtype), limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # pieces move on from here when they are met again
 
+    def is_odd(self, text: str) -> bool:
+        return self.odd.search(text) is not None or any(s in text for s in self.specials)
+
     def whole(self, text: str) -> bytes:
         text = text.encode("utf-8", "replace").decode()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -49,7 +52,7 @@ class Encoder:
         cut: dict[str | None, list[str] | None] = {t: None for t in texts}
         new: set[str] = set()
         for t in cut:
-            if not (t and self.odd.search(t)):
+            if not (t and self.is_odd(t)):
                 cut[t] = self.piece.findall(t or "")
                 new.update(cut[t])
         fresh = []
