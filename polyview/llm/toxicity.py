@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out:
     return docs.withColumn(out, scored(F.col(text)))
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class: int = 12_000, **how) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, per_class: int = 5_000, **how) -> FactorizationMachine:
     """use: a condition on ``_id`` that says which labels may be learned from."""
     rows, y, prior = labelled_terms(docs, labels, F.lit(True) if use is None else use, per_class)
     return fit(rows, y, prior, **how)
