@@ -58,7 +58,7 @@ def draw_prior(c: Column, rng: np.random.Generator) -> dict:
     h = c.hyper
     if c.ftype == "continuous":
         mean, var, ln = h.get("mean", 0.0), h.get("var", 1.0), max(1.0, float(np.log(max(2, h.get("n", 10)))))
-        return {"m": float(rng.normal(mean, var**0.5)), "k": float(max(1e-3, rng.gamma(1.0))), "v": float(ln / rng.gamma(ln)), "s2": float(var / rng.gamma(ln) * ln / ln)}
+        return {"m": float(rng.normal(mean, var**0.5)), "k": float(max(1e-3, rng.gamma(1.0))), "v": float(ln / rng.gamma(ln)), "s2": float(var / rng.gamma(ln))}
     if c.ftype == "count":
         return {"shape": float(max(1e-3, rng.gamma(2.0) / 2 * h.get("shape", 1.0))), "rate": float(max(1e-3, rng.gamma(2.0) / 2 * h.get("rate", 1.0)))}
     return {"alpha": float(1 / max(1e-3, rng.gamma(h.get("shape", 1.0)) / h.get("scale", 1.0)))}
