@@ -194,8 +194,8 @@ def _slot(c: str):
 
 
 def _having(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of the nodes. A filter of fixed size drops most others where they are read, so that only what is needed
-    (and a few more) is shuffled."""
+    """The texts of the nodes and perhaps of some others: a filter of fixed size drops the rest where they are read, so no
+    text is shuffled for this."""
     shared = docs.sparkSession.sparkContext.broadcast(_bits(nodes.select(_slot("node").alias("s"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +204,7 @@ def _having(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = np.flatnonzero((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
             yield b.take(pa.array(keep)).select(["doc_id", "text"])
 
-    few = docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
-    return few.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    return docs.where("doc_id is not null").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
 
 
 def _passed(sets: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -269,18 +268,17 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     sets = stored(_sets(docs, n, percent, light, frequent), "sets")
     heads = stored(sets.where("size > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node")), "heads")
     own = _passed(sets.where("size > 0 and doc_id is not null"), _shared_filter(sets)).where("size(keys) > 0 or size(parts) > 0")
-    own = own.join(heads.select("node", F.col("same").alias("_same")), (F.col("doc_id") == F.col("node")) & (F.col("same") == F.col("_same")))
+    own = own.join(heads.select("node", F.col("same").alias("_same")), (F.col("doc_id") == F.col("node")) & (F.col("same") == F.col("_same"))).dropDuplicates(["doc_id", "same"])
     own = stored(own.select("node", "size", "keys", "places", "parts", "part_sizes", "sketch"), "own")
 
     # Heavy: list entries of tokens that two nodes list; reach: the most that a node can have in common with another.
-    entries = own.select("node", "size", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("node", "size", "e.keys", "e.places").toDF("node", "size", "key", "place").distinct()
+    entries = own.select("node", "size", F.explode(F.arrays_zip("keys", "places")).alias("e")).select("node", "size", "e.keys", "e.places").toDF("node", "size", "key", "place")
     often = entries.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
     entries = stored(entries.join(often, F.col("key") == F.col("_key"), "left_semi"), "entries")
     reach = entries.groupBy("node").agg(F.min("place").alias("_first"), F.count("*").alias("_n")).where(f"_n >= {SHARED}").select(F.col("node").alias("_node"), "_first")
-    marks = own.select(F.col("node").alias("_own"), *[F.get("sketch", k).alias(f"k{k}") for k in range(SKETCH // 64)]).dropDuplicates(["_own"])
-    reach = reach.join(marks, F.col("_node") == F.col("_own"))
-    lists = stored(entries.join(reach, F.col("node") == F.col("_node")).select("node", "size", "key", "place", (F.col("size") - F.col("_first")).alias("reach"), *_SKETCH), "lists")
-    part = own.select("node", "size", F.explode(F.arrays_zip("parts", "part_sizes")).alias("e")).select("node", "size", "e.parts", "e.part_sizes").toDF("node", "size", "key", "common").distinct()
+    marks = own.select(F.col("node").alias("_own"), "size", *[F.get("sketch", k).alias(c) for k, c in enumerate(_SKETCH)])
+    lists = stored(entries.join(reach, F.col("node") == F.col("_node")).select("node", "size", "key", "place", (F.col("size") - F.col("_first")).alias("reach")), "lists")
+    part = own.select("node", "size", F.explode(F.arrays_zip("parts", "part_sizes")).alias("e")).select("node", "size", "e.parts", "e.part_sizes").toDF("node", "size", "key", "common")
     often = part.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
     part = stored(part.join(often, F.col("key") == F.col("_key"), "left_semi"), "parts")
 
@@ -289,15 +287,17 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     # Each token in one set alone flips one bit of the sketches' difference at most.
     apart = " + ".join(f"bit_count(k{k} ^ k{k}2)" for k in range(SKETCH // 64))
     near = F.expr(f"size + size2 - ({apart}) >= 2 * {enough}")
-    may = near & F.expr(f"least(reach, reach2) >= {enough} and least(size, size2) >= {enough} and least(place, place2) + least(size - place, size2 - place2) >= {enough}")
+    may = F.expr(f"least(reach, reach2) >= {enough} and least(size, size2) >= {enough} and least(place, place2) + least(size - place, size2 - place2) >= {enough}")
     sure = F.expr(f"100 * common >= {percent} * (size + size2 - common)")
     pairs = lambda x: x.groupBy("a", "b").agg(F.count("*").alias("_n")).where(f"_n >= {SHARED}").select("a", "b")
 
     # First to one centre of each list: the entry with the earliest place, which has most in common with the rest.
     rank = F.expr("shiftleft(place, 40) | (xxhash64(node) & 1099511627775L)")
-    centre = lists.withColumn("_o", rank).groupBy("key").agg(F.min_by("node", "_o").alias("node2"), F.min_by("size", "_o").alias("size2"), F.min_by("reach", "_o").alias("reach2"), F.min("place").alias("place2"), *[F.min_by(c, "_o").alias(f"{c}2") for c in _SKETCH]).withColumnRenamed("key", "key2")
+    centre = lists.withColumn("_o", rank).groupBy("key").agg(F.min_by("node", "_o").alias("node2"), F.min_by("size", "_o").alias("size2"), F.min_by("reach", "_o").alias("reach2"), F.min("place").alias("place2")).withColumnRenamed("key", "key2")
     tried = lists.join(centre, F.expr("key = key2 and node <> node2") & may).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    tried = stored(pairs(tried), "tried")
+    other = marks.select(*[F.col(c).alias(f"{c}2") for c in marks.columns])
+    tried = pairs(tried).join(marks, F.col("a") == F.col("_own")).join(other, F.col("b") == F.col("_own2")).where(near).select("a", "b")
+    tried = stored(tried.distinct(), "tried")
     links = _verified(tried, docs, n, percent)
     middle = part.groupBy("key").agg(F.min_by("node", F.expr("shiftleft(size, 40) | (xxhash64(node) & 1099511627775L)")).alias("node2"), F.min("size").alias("size2")).withColumnRenamed("key", "key2")
     small = part.join(middle, F.expr("key = key2 and node <> node2") & sure).select(F.col("node").alias("a"), F.col("node2").alias("b"))
@@ -315,7 +315,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_i
         other = table.select(*[F.col(c).alias(f"{c}2") for c in names])
         return table.join(other, F.expr("key = key2 and c <> c2 and node < node2") & on).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
-    rest = pairs(between(split(lists), ["key", "node", "size", "place", "reach", "c", *_SKETCH], may))
+    left = split(lists).join(marks.drop("size"), F.col("node") == F.col("_own")).drop("_own")
+    rest = pairs(between(left, ["key", "node", "size", "place", "reach", "c", *_SKETCH], may & near))
     done = tried.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
     rest = stored(rest.join(done, F.expr("a = _a and b = _b"), "left_anti"), "rest")
     more = _verified(rest, docs, n, percent).unionByName(between(split(part), ["key", "node", "size", "c"], sure))
