@@ -24,7 +24,7 @@ def corpus(n, seed=0):
 def test_toxicity_finds_insults_and_leaves_the_rest(spark):
     rng, rows, labels = random.Random(1), [], []
     for k in range(1500):
-        words = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(5, 60))]
+        words = ["".join("abcdefghij"[int(c)] for c in str(rng.randint(1000, 1300))) for _ in range(rng.randint(5, 60))]  # terms are letters
         bad = rng.random() < 0.2
         if bad:
             words.insert(rng.randrange(len(words)), rng.choice(["Idiot,", "LOSER", "scum!"]))
