@@ -105,7 +105,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """A dictionary that computes what it lacks and starts anew beyond ``limit`` entries."""
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 150_000):
         super().__init__()
         self._compute, self._limit = compute, limit
 

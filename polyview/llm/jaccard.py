@@ -111,15 +111,22 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, which bounds what a worker holds at once."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _survey(docs: DataFrame, n: int) -> DataFrame:
     """One pass: kind 0, tokens frequent within a batch with their counts there; 1, small sizes; 2, the hash sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
-        for b in batches:
+        for b in _slices(batches):
             sets = [hashed(lowered_words(t), n, memo) for t in b.column("text").to_pylist()]
             token, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            often = count >= max(4, len(sets) // 500)
+            often = count >= max(4, len(sets) // 250)
             some = token % np.uint64(SAMPLE) == 0
             size, many = np.unique([len(s) for s in sets if 0 < len(s) <= MOST_LIGHT], return_counts=True)
             kind = np.repeat([0, 1, 2], [often.sum(), len(size), some.sum()])
@@ -149,7 +156,7 @@ def _sets(docs: DataFrame, n: int, percent: int, light: int, frequent: tuple[np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         lists = lambda rows, dtype, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype), *rows]).astype(dtype), kind))
-        for b in batches:
+        for b in _slices(batches):
             size, same, keys, parts, part_sizes, sketch = [], [], [], [], [], []
             for t in b.column("text").to_pylist():
                 h = hashed(lowered_words(t), n, memo)

@@ -83,10 +83,10 @@ def _step(z: np.ndarray, g2: np.ndarray, now: np.ndarray, g: np.ndarray, rate: f
     z += g - (np.sqrt(g2 + g * g) - np.sqrt(g2)) / rate * now
     g2 += g * g
     least = sure * np.sqrt(g2)
-    return np.where(np.abs(z) <= least, start, -z / ((0.1 + np.sqrt(g2)) / rate))
+    return np.where(np.abs(z) <= least, start, -(z - np.sign(z) * least) / ((0.1 + np.sqrt(g2)) / rate))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float | None = None, dim: int = DIM, factors: int = 4, epochs: int = 4, batch: int = 64, rate: float = 0.8, sure: float = 2.0, min_rows: int = 4, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float | None = None, dim: int = DIM, factors: int = 4, epochs: int = 4, batch: int = 64, rate: float = 1.5, sure: float = 1.5, min_rows: int = 4, seed: int = 7) -> FactorizationMachine:
     """prior: the share of label 1 where the model is used, if the rows are balanced; the intercept is moved to it.
     Rows with the same terms count once, with their mean label, so groups of copies don't outweigh the rest.
 
