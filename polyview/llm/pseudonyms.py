@@ -8,7 +8,7 @@ card    13 to 19 digits, perhaps in groups, with a right Luhn sum   all but the
 phone   +country code and 8 to 12 further digits in groups, or      the digits after the country code
         the form (ddd) ddd-dddd or ddd-ddd-dddd
 ssn     ddd-dd-dddd, first group not 000, 666 or 9xx                the nine digits, within the valid numbers
-ipv4    four numbers of 0 to 255                                    the 32 bits
+ipv4    four numbers of 0 to 255                                    the four numbers, each within its width
 date    a calendar date from 1900 to 2099 as yyyy-mm-dd, yyyy/mm/dd,the day's number, within those two centuries
         dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy
 email   an address with a dotted domain                             letters and digits of the local part, by kind
@@ -116,7 +116,18 @@ class Pseudonyms:
         parts = [int(x) for x in found.split(".")]
         if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in found.split(".")):
             return None
-        return ".".join(map(str, self.permuted("ipv4", 1 << 32, int.from_bytes(bytes(parts), "big"), back).to_bytes(4, "big")))
+        # Each number keeps its width, so the text keeps its length.
+        least = [(0, 10, 100)[len(str(x)) - 1] for x in parts]
+        sizes = [(10, 90, 156)[len(str(x)) - 1] for x in parts]
+        value = 0
+        for x, lo, n in zip(parts, least, sizes, strict=True):
+            value = value * n + x - lo
+        value = self.permuted("ipv4|" + ",".join(map(str, sizes)), sizes[0] * sizes[1] * sizes[2] * sizes[3], value, back)
+        out = []
+        for lo, n in zip(reversed(least), reversed(sizes), strict=True):
+            value, x = divmod(value, n)
+            out.append(str(lo + x))
+        return ".".join(reversed(out))
 
     def _date(self, found: str, back: bool) -> str | None:
         a, b, c = (int(x) for x in re.split(r"\D", found))
