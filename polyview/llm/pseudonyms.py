@@ -10,9 +10,13 @@ phone   +country code and 8 to 12 further digits in groups, or      the digits a
 ssn     ddd-dd-dddd, first group not 000, 666 or 9xx                the nine digits, within the valid numbers
 ipv4    four numbers of 0 to 255                                    the four numbers, each within its width
 date    a calendar date from 1900 to 2099 as yyyy-mm-dd, yyyy/mm/dd,the day's number, within those two centuries
-        dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy
+        dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy, also before a time (T10:00)
 email   an address with a dotted domain                             letters and digits of the local part, by kind
 
+Among other numbers, a card is looked for at the borders of the digits' groups: first in the usual groups, then as all
+digits together, then as any groups of three digits and more (the last may have fewer). If pseudonyms make other groups
+of such a row of numbers right by chance, ``restore`` may take those.
+
 The Feistel network alternates over two halves with keyed BLAKE2b as round function and walks its cycle until
 the value lies in the format's domain, so each map is a bijection of that domain, and ``restore`` inverts
 all but e-mail in kind (same walk backwards). Nulls stay null, empty texts empty; a text without valid values
@@ -24,7 +28,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -43,8 +47,14 @@ NUMBERS = re.compile(
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})"
     r"|(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
     r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r")(?![\w@]|[.-]\d)"
+    r")(?:(?(date)(?=[Tt]\d)|(?!))|(?![\w@]|[.-]\d))"
 )
+#: What may not follow a number, as above.
+_GOES_ON = re.compile(r"[\w@]|[.-]\d")
+_RUN, _GROUP = re.compile(r"\d(?:[ -]?\d)*"), re.compile(r"\d+")
+#: Usual groups of a card's digits, and groups that a card among other numbers has at least.
+_USUAL = re.compile(r"(?:1[3-9]|4 4 4 [1-3]|4 4 4 4(?: [1-3])?|4 6 [45]|6 13|8 8)")
+_LARGE = re.compile(r"(?:(?:[3-9]|1\d) )+\d+")
 #: Any of the above starts with a digit, or with one of these marks before a digit.
 HINT = re.compile(r"\d[\d.\-/ ()]{4,}\d")
 
@@ -173,23 +183,60 @@ class Pseudonyms:
         if not text:
             return text, counts
 
-        def put(kind: str | None) -> Callable[[re.Match], str]:
-            def one(m: re.Match) -> str:
-                k = kind or m.lastgroup
-                new = self.value(k, m[0], back)
-                if new is None and k in ("phone", "date"):
-                    return m[0]
-                counts[k] += new is not None
-                return m[0] if new is None else new
-
-            return one
+        def email(m: re.Match) -> str:
+            new = self.value("email", m[0], back)
+            counts["email"] += new is not None
+            return m[0] if new is None else new
 
         if "@" in text:
-            text = EMAIL.sub(put("email"), text)
+            text = EMAIL.sub(email, text)
         if HINT.search(text):
-            text = NUMBERS.sub(put(None), text)
+            text = self._numbers(text, 0, len(text), back, counts)
         return text, counts
 
+    def _numbers(self, text: str, at: int, end: int, back: bool, counts: dict[str, int]) -> str:
+        """text[at:end] with the pseudonyms of its numbers."""
+        out, tried = [], at  # no card starts before ``tried``
+        look = at
+        while m := NUMBERS.search(text, look, end):
+            a, b, new = m.start(), m.end(), None
+            if m.lastgroup != "card":
+                new = self.value(m.lastgroup, m[0], back)
+            elif a >= tried:
+                a, b, new = self._card_in(text, a, b, end, back)
+                tried = m.end()
+            if new is None:
+                # other numbers may start at the next group of what is no card
+                look = _GROUP.match(text, m.start()).end() if m.lastgroup == "card" else m.end()
+                continue
+            counts[m.lastgroup] += 1
+            out += [text[at : m.start()], self._numbers(text, m.start(), a, back, counts) if a > m.start() else "", new]
+            at = look = b
+        return "".join(out) + text[at:end]
+
+    def _card_in(self, text: str, a: int, b: int, end: int, back: bool) -> tuple[int, int, str | None]:
+        """Where a card is in text that starts between a and b, and its pseudonym. First come usual groups, then all
+        of a to b, then other runs of groups."""
+        groups = [g.span() for g in _GROUP.finditer(text, a, min(_RUN.match(text, a, end).end(), b + 40))]
+        spans = []
+        for i, (x, _) in enumerate(groups):
+            if x >= b:
+                break
+            size, shape = 0, []
+            for p, q in groups[i:]:
+                size += q - p
+                if size > 19:
+                    break
+                shape.append(str(q - p))
+                if size >= 13 and not _GOES_ON.match(text, q, end):
+                    form = " ".join(shape)
+                    spans.append((0 if _USUAL.fullmatch(form) else 2 if _LARGE.fullmatch(form) else 3, x, -q))
+        for rank, x, q in sorted([s for s in spans if s[0] < 3] + [(1, a, -b)]):
+            new = self._card(text[x:-q], back)
+            if new is not None:
+                return x, -q, new
+        return a, b, None
+
 
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
