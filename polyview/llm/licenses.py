@@ -3,7 +3,9 @@
 A text is put into a canonical form: lower case, copyright lines removed, equivalent spellings unified, each
 run of characters other than letters, digits and line breaks replaced by one space. Its units are the whole
 text, every block between blank lines and every line. The SHA-256 digests of the units are joined to the
-digests of the known licences' texts in the same form; a unit matches only as a whole.
+digests of the known licences' texts in the same form; a unit matches only as a whole. Known texts of several
+blocks are found wherever they stand in a text: where one may begin (its first ANCHOR words), the digest of as many
+words as it has is a unit too, so titles, text around it, other line breaks and comment marks don't matter.
 
 Null and empty texts have no unit and no licence. Rows with the same id are reported together in one row;
 a null id is an id like any other. Only the id and the text are read.
@@ -13,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,8 @@ KNOWN: dict[str, tuple[str, ...]] = {
 
 #: A join to more known digests than this is left to the planner instead of broadcast.
 MAX_BROADCAST = 50_000
+#: Words by which the beginning of a known text of several blocks is found.
+ANCHOR = 3
 
 _COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:©|\(c\)|copyright)[^\n]*$"
 _MARKS = r"[^\p{L}\p{N}\n]+"
@@ -81,6 +87,34 @@ def known_digests(known: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, texts in known.items() for t in texts})
 
 
+def known_spans(known: dict[str, tuple[str, ...]]) -> dict[str, dict[int, set[str]]]:
+    """Of the known texts of several blocks: numbers of words and digests by their first words."""
+    out: dict[str, dict[int, set[str]]] = {}
+    for texts in known.values():
+        for t in texts:
+            words = canonical_text(t).split(" ")
+            if re.search(r"\n[ \t]*\n", t.strip()):
+                out.setdefault(" ".join(words[:ANCHOR]), {}).setdefault(len(words), set()).add(hashlib.sha256(" ".join(words).encode()).hexdigest())
+    return out
+
+
+def span_finder(spans: dict[str, dict[int, set[str]]]) -> Callable[[str], list[str]]:
+    """The digests of the known texts of several blocks that stand in a flat canonical text."""
+    begins = re.compile("(?<![^ ])(?=(" + "|".join(re.escape(a) for a in sorted(spans, key=len, reverse=True)) + ")(?![^ ]))")
+
+    def found(text: str) -> list[str]:
+        out = set()
+        for m in begins.finditer(text):
+            for n, digests in spans[m[1]].items():
+                words = text[m.start() :].split(" ", n)[:n]
+                d = hashlib.sha256(" ".join(words).encode()).hexdigest()
+                if d in digests:
+                    out.add(d)
+        return sorted(out)
+
+    return found
+
+
 def canonical(text: Column) -> Column:
     """The canonical form with line breaks kept."""
     out = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _MARKS, " ")
@@ -106,7 +140,20 @@ def scan(docs: DataFrame, known: dict[str, tuple[str, ...]] | None = None, doc_i
         flat(F.col("c")).alias("w"),
         F.array_union(F.transform(F.split("c", r"\n ?\n"), flat), F.transform(F.split("c", "\n"), lambda x: F.trim(x))).alias("u"),
     )
-    digests = units.select("doc_id", F.sha2("w", 256).alias("w"), F.explode(F.array_distinct(F.transform(F.array_union(F.array("w"), "u"), lambda x: F.sha2(x, 256)))).alias("digest"))
+    every = F.transform(F.array_union(F.array("w"), "u"), lambda x: F.sha2(x, 256))
+    spans = known_spans(KNOWN if known is None else known)
+    if spans:
+
+        @F.pandas_udf("array<string>")
+        def inside(texts: pd.Series) -> pd.Series:
+            find = span_finder(spans)
+            return pd.Series([None if t is None else find(t) for t in texts], dtype=object)
+
+        # only texts with such a beginning go to Python
+        begins = F.regexp_like(F.col("w"), F.lit("(?:^| )(?:" + "|".join(spans) + ")(?: |$)"))
+        units = units.withColumn("s", inside(F.when(begins, F.col("w"))))
+        every = F.array_union(every, F.coalesce("s", F.array().cast("array<string>")))
+    digests = units.select("doc_id", F.sha2("w", 256).alias("w"), F.explode(F.array_distinct(every)).alias("digest"))
     hits = digests.join(table, "digest").groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("_l"), F.countDistinct("digest").alias("_n"), F.max(F.col("w") == F.col("digest")).alias("_w")
     )
