@@ -2,20 +2,22 @@
 
 Each context is a restaurant whose dishes are words. The root restaurant is the parent of all contexts, and a table in a
 context is a customer of the root; the root's base is uniform over the training vocabulary and one unknown
-word. The ``common`` most frequent words have a restaurant each, all rarer words share one, and the start of a text has one.
+word. Every word has a restaurant, and so has the start of a text.
 
 Seating is sampled by Gibbs sweeps in blocks: given the contexts' tables T_u and the root's probabilities P(w) of the sweep
 before, the c customers of a dish are seated anew one after another, each at a new table with odds
 (theta + d T_u) P(w) to (n - d t); beyond EXACT customers, in blocks that double. Dishes are independent then, so a
-sweep is a map over partitions of (word, context) counts, followed by sums for the contexts and the common words. The
+sweep is a map over partitions of (word, context) counts, followed by sums for the contexts and the words. The
 predictive probability (c - d t + (theta + d T_u) P(w)) / (theta + C_u) is averaged over the samples after burn-in, and a text's
 score is the sum of log10 of these averages. Discounts come from the counts of counts.
 
 Words outside the common ones are known by 64-bit hashes. The pairs of a batch of texts are counted before they are
-shuffled, as sorted compressed columns; a rare word's pairs are all in one partition, a common word's are spread by context.
+shuffled, as sorted compressed columns; a rare word's pairs in common contexts are all in one partition, a common word's are spread by context.
 For scoring, the tokens of a batch go to the partition of their pair, those of the most frequent pairs (each over
 1 / HOT of all, so fewer than HOT) are scored where they are read; then a document's parts are summed.
 What is broadcast is bounded by ``common`` and HOT. Counts cover all training texts.
+Pairs in contexts that aren't common are in their contexts' partitions. After each sweep those send the tables of rare words to
+the words' partitions, and get the words' root seating back; when scoring, such tokens of rare words take both ways in turn.
 
 Null and empty texts have the end token alone. Without training texts (N = 0) the model is the base: one unknown word.
 Rows are scored each for itself, so repeated ids give repeated rows; null ids stay null. Only id and text are read.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,7 @@ END = xxhash.xxh3_64_intdigest(b"\n")
 CONTEXT_BITS, HOT, EXACT = 20, 1 << 17, 128
 STEP_TOKENS, PART_TOKENS, BURN_IN, SAMPLES = 800_000, 2_000_000, 1, 2
 _COLUMNS = ("key", "n", "word", "at", "m")
+_NONE = np.empty(0, np.uint32)
 _BLOB = "p int, batch long, key binary, n binary, word binary, at binary, m binary"
 
 
@@ -71,7 +75,7 @@ class Words:
 
     @property
     def contexts(self) -> int:
-        return len(self.hashes) + 2
+        return len(self.hashes) + 1
 
     def memo(self) -> Memo:
         place = {int(h): i for i, h in enumerate(self.hashes)}
@@ -90,7 +94,7 @@ class Words:
 
 def steps(texts: list[str | None], words: Words, memo: Memo) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Stretches of texts: number of the first, word codes, contexts, and how many tokens each text has."""
-    end, rare, start = words.end_code(), len(words.hashes), len(words.hashes) + 1
+    end, start = words.end_code(), len(words.hashes)
     at, codes, lengths, size = 0, [], [], 0
     for k, t in enumerate(texts):
         own = lowered_words(t)
@@ -100,8 +104,8 @@ def steps(texts: list[str | None], words: Words, memo: Memo) -> Iterator[tuple[i
         size += lengths[-1]
         if size >= STEP_TOKENS or k == len(texts) - 1:
             code, n = np.concatenate(codes), np.array(lengths, np.int64)
-            context = np.empty(len(code), np.uint32)
-            context[1:] = np.where(code[:-1] >= RARE, rare, code[:-1])
+            context = np.empty(len(code), np.uint64)
+            context[1:] = code[:-1]
             context[np.cumsum(n) - n] = start
             yield at, code, context, n
             at, codes, lengths, size = k + 1, [], [], 0
@@ -173,23 +177,31 @@ def pair_keys(code: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 
 def _pair_counts(docs: DataFrame, words: Words) -> DataFrame:
-    """p, and its pairs of common words (key, n) and of rare words (word, at, m); one row a partition."""
+    """p, and its pairs of common words (key, n) and of rare words (word, at, m) in common contexts; one row a partition.
+    From ``parts`` on, those of rare contexts: context (in key), word and n."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = shared.value.memo()
         for b in batches:
             for _, code, context, _ in steps(b.column("text").to_pylist(), shared.value, memo):
-                rare = code >= RARE
-                key, n = np.unique(pair_keys(code[~rare], context[~rare]), return_counts=True)
+                far = context >= RARE
+                rare, known = (code >= RARE) & ~far, (code < RARE) & ~far
+                key, n = np.unique(pair_keys(code[known], context[known]), return_counts=True)
                 word, at, m = counted(code[rare], context[rare])
                 dealt = _dealt(shared.value.parts, (part_of(key, shared.value.parts), (key, n)), (part_of(word, shared.value.parts), (word, at, m)))
                 rows = [_row(p, 0, *a, *c) for p, (a, c) in dealt]
+                key, word, n = counted(context[far], code[far])
+                rows += [_row(shared.value.parts + q, 0, u, k, w, _NONE, _NONE) for q, ((u, w, k),) in _dealt(shared.value.parts, (part_of(key, shared.value.parts), (key, word, n)))]
                 for k in range(0, len(rows), 64):
                     yield _batch(rows[k : k + 64])
 
     def merged(t: pa.Table) -> pa.Table:
+        p = t.column("p")[0].as_py()
         key, n, word, at, m = _all(t)
+        if p >= shared.value.parts:
+            key, word, n = counted(key, word, n)
+            return pa.Table.from_batches([_batch([_row(p, 0, key, n, word, _NONE, _NONE)])])
         order = np.argsort(key, kind="stable")
         key, ends = np.unique(key[order], return_index=True)
         n = np.add.reduceat(n[order].astype(np.int64), ends) if len(ends) else n
@@ -245,63 +257,142 @@ def seated(n: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -
     return t
 
 
-def sample(columns: list[np.ndarray], state: State, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """New seating of a partition's pairs, and root seating and probabilities of its rare words."""
+def lookup(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x among ascending names, and whether it is there."""
+    place = np.minimum(np.searchsorted(names, x), max(0, len(names) - 1))
+    return place, names[place] == x if len(names) else np.zeros(len(x), bool)
+
+
+def common_tables(columns: list[np.ndarray], state: State, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and new seating of a partition's pairs of common words."""
+    context = (columns[0] & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)
+    code = (columns[0] >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+    return context, code, seated(columns[1], (state.theta + state.d * state.tables)[context] * state.p_common[code], state.d, rng)
+
+
+Said = list[tuple[int, bytes, bytes, bytes, bytes]]
+
+
+def _parted(t: pa.Table) -> tuple[list[np.ndarray], dict[int, Said]]:
+    """A partition's pairs, and by sweep what other partitions say to it: their number, key, n, word and m."""
+    said: dict[int, Said] = {}
+    batch = t.column("batch").to_numpy()
+    for k in np.flatnonzero(batch):
+        tag = int(batch[k]) - 1
+        said.setdefault(tag >> 32, []).append((tag & 0xFFFFFFFF, *(t.column(c)[int(k)].as_py() for c in ("key", "n", "word", "m"))))
+    return _all(t.filter(pa.array(batch == 0))), said
+
+
+def _far(said: Said) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rare words that follow rare contexts: their tables and how often they do."""
+    names = [opened(key, np.uint64, True) for _, key, *_ in said]
+    names, which = np.unique(np.concatenate([np.empty(0, np.uint64), *names]), return_inverse=True)
+    tables, n = (np.concatenate([_NONE, *(opened(x[k], np.uint32) for x in said)]) for k in (4, 2))
+    return names, np.bincount(which, tables, len(names)), np.bincount(which, n, len(names)).astype(np.int64)
+
+
+def sample(columns: list[np.ndarray], state: State | None, rng: np.random.Generator, said: Said) -> dict[str, np.ndarray]:
+    """New seating of a partition's pairs in common contexts, and root seating of its rare words, whose tables in rare
+    contexts are those of the sweep before. Without a state, one table a pair."""
     key, n, word, at, m = columns
-    context = (key & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)
-    code = (key >> np.uint64(CONTEXT_BITS)).astype(np.int64)
-    weight = state.theta + state.d * state.tables
-    t = seated(n, weight[context] * state.p_common[code], state.d, rng)
-    names, which = np.unique(word, return_inverse=True)
-    at = at.astype(np.int64)
-    tables, customers = np.ones(len(word)), np.bincount(which, minlength=len(names)).astype(float)
-    for _ in range(2):  # the rare words' root seating and their contexts' in turn
+    far_names, far_tables, far_n = _far(said)
+    names = np.unique(np.concatenate([word, far_names]))
+    which, at = np.searchsorted(names, word), at.astype(np.int64)
+    more, seen = np.zeros(len(names)), np.bincount(which, m, len(names)).astype(np.int64)
+    more[np.searchsorted(names, far_names)] = far_tables
+    seen[np.searchsorted(names, far_names)] += far_n
+    tables, customers, under = np.ones(len(word)), np.bincount(which, minlength=len(names)) + more, np.ones(len(names))
+    if state is None:
+        context, code = (key & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64), (key >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+        t = np.ones(len(key))
+    else:
+        context, code, t = common_tables(columns, state, rng)
+        weight = state.theta + state.d * state.tables
+        for _ in range(2):  # the rare words' root seating and their contexts' in turn
+            under = seated(customers, np.full(len(names), state.new_mass() * state.unknown), state.d0, rng)
+            parent = state.root(customers, under)
+            tables = seated(m, weight[at] * parent[which], state.d, rng)
+            customers = np.bincount(which, tables, len(names)) + more
         under = seated(customers, np.full(len(names), state.new_mass() * state.unknown), state.d0, rng)
-        parent = state.root(customers, under)
-        tables = seated(m, weight[at] * parent[which], state.d, rng)
-        customers = np.bincount(which, tables, len(names))
-    under = seated(customers, np.full(len(names), state.new_mass() * state.unknown), state.d0, rng)
-    return {"code": code, "context": context, "t": t, "names": names, "which": which, "at": at, "tables": tables, "customers": customers, "under": under}
+    return {"code": code, "context": context, "t": t, "names": names, "which": which, "at": at, "tables": tables, "customers": customers, "under": under, "seen": seen}
+
+
+def far_sample(columns: list[np.ndarray], state: State | None, rng: np.random.Generator, said: Said, p: int) -> dict[str, np.ndarray]:
+    """New seating of a partition's pairs in rare contexts, given those contexts' tables and the root's seating of the sweep before."""
+    key, n, word, _, _ = columns
+    contexts, which = np.unique(key, return_inverse=True)
+    t = np.ones(len(word))
+    rare = word >= RARE
+    if state is not None:
+        tables = np.concatenate([_NONE, *(opened(x[4], np.uint32) for x in said if x[0] == p)])
+        names = np.concatenate([np.empty(0, np.uint64), *(opened(x[1], np.uint64, True) for x in said if x[0] != p)])
+        held = np.concatenate([np.empty(0), *(opened(x[3], float) for x in said if x[0] != p)])
+        order = np.argsort(names)
+        parent = np.empty(len(word))
+        parent[~rare] = state.p_common[word[~rare].astype(np.int64)]
+        parent[rare] = state.root(held[order][np.searchsorted(names[order], word[rare])], 0.0)
+        t = seated(n, (state.theta + state.d * tables[which]) * parent, state.d, rng)
+    return {"contexts": contexts, "which": which, "rare": rare, "t": t, "tables": np.bincount(which, t, len(contexts)), "customers": np.bincount(which, n, len(contexts))}
 
 
 def _rng(seed: int, sweep: int, p: int) -> np.random.Generator:
-    return np.random.default_rng([seed, sweep, p])
+    return np.random.default_rng([seed, max(0, sweep), p])
 
 
-def _sums(pairs: DataFrame, words: Words, state: State | None, seed: int, sweep: int) -> np.ndarray:
-    """Totals over all partitions of a sweep: tables and customers by context, root customers by common word, and
-    rare words' root customers and tables, pairs seen once and twice. Tasks add up what they have; few rows reach the driver."""
-    shared = pairs.sparkSession.sparkContext.broadcast((words.contexts, len(words.hashes), state))
+def _sums(pairs: DataFrame, said: DataFrame | None, words: Words, state: State | None, seed: int, sweep: int) -> tuple[np.ndarray, DataFrame]:
+    """Totals over all partitions of a sweep: tables and customers by common context, root customers by common word, and
+    rare words' root customers and tables, pairs seen once and twice; few rows reach the driver. And what partitions say
+    to each other: rare contexts' partitions their tables by rare word, and rare words' partitions their root seating."""
+    shared = pairs.sparkSession.sparkContext.broadcast((words.contexts, len(words.hashes), words.parts, state))
+    tag = (max(0, sweep) << 32) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, common, now = shared.value
+    def run(t: pa.Table) -> pa.Table:
+        contexts, common, parts, now = shared.value
         total = np.zeros(2 * contexts + common + 4)
-        for b in batches:
-            for k in range(len(b)):
-                columns = _all(b.slice(k, 1))
-                key, n, word, at, m = columns
-                if now is None:
-                    code, context = (key >> np.uint64(CONTEXT_BITS)).astype(np.int64), (key & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)
-                    got = {"code": code, "context": context, "t": np.ones(len(key)), "at": at.astype(np.int64), "tables": np.ones(len(word)), "customers": np.array([float(len(word))]), "under": np.array([float(len(np.unique(word)))])}
-                else:
-                    got = sample(columns, now, _rng(seed, sweep, b.column("p")[k].as_py()))
-                total[:contexts] += np.bincount(got["context"], got["t"], contexts) + np.bincount(got["at"], got["tables"], contexts)
-                total[contexts : 2 * contexts] += np.bincount(got["context"], n, contexts) + np.bincount(got["at"], m, contexts)
-                total[2 * contexts : -4] += np.bincount(got["code"], got["t"], common)
-                total[-4:] += [got["customers"].sum(), got["under"].sum(), (n == 1).sum() + (m == 1).sum(), (n == 2).sum() + (m == 2).sum()]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+        p = t.column("p")[0].as_py()
+        columns, heard = _parted(t)
+        heard = next(iter(heard.values()), [])
+        key, n, word, at, m = columns
+        rows = []
+        if p < parts:
+            got = sample(columns, now, _rng(seed, sweep, p), heard)
+            total[:contexts] += np.bincount(got["context"], got["t"], contexts) + np.bincount(got["at"], got["tables"], contexts)
+            total[contexts : 2 * contexts] += np.bincount(got["context"], n, contexts) + np.bincount(got["at"], m, contexts)
+            total[2 * contexts : -4] += np.bincount(got["code"], got["t"], common)
+            total[-4:] += [got["customers"].sum(), got["under"].sum(), (n == 1).sum() + (m == 1).sum(), (n == 2).sum() + (m == 2).sum()]
+            held = got["customers"] - words_d0 * got["under"]
+            for src, asked, *_ in heard:
+                rows.append((src, tag + p, asked, None, squeezed(held[np.searchsorted(got["names"], opened(asked, np.uint64, True))]), None, None))
+        else:
+            got = far_sample(columns, now, _rng(seed, sweep, p), heard, p)
+            rare = got["rare"]
+            total[2 * contexts : -4] += np.bincount(word[~rare].astype(np.int64), got["t"][~rare], common)
+            total[-2:] += [(n == 1).sum(), (n == 2).sum()]
+            rows.append((p, tag + p, None, None, None, None, squeezed(got["tables"].astype(np.uint32))))
+            names, which = np.unique(word[rare], return_inverse=True)
+            tables, seen = (np.bincount(which, x[rare], len(names)).astype(np.uint32) for x in (got["t"], n))
+            for q, ((w, x, y),) in _dealt(parts, (part_of(names, parts), (names, tables, seen))):
+                rows.append((q, tag + p, squeezed(w, True), squeezed(y), None, None, squeezed(x)))
+        rows.append((-1, 0, squeezed(total), None, None, None, None))
+        return pa.Table.from_batches([_batch(rows)])
+
+    words_d0 = words.discount
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            for raw in b.column("s").to_pylist():
-                x = np.frombuffer(raw)
+            for raw in b.column("key").to_pylist():
+                x = opened(raw, float)
                 total = x.copy() if total is None else total + x
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    got = pairs.mapInArrow(run, "s binary").repartition(4).mapInArrow(added, "s binary").collect()
-    return np.sum([np.frombuffer(bytes(r[0])) for r in got], axis=0) if got else np.zeros(2 * words.contexts + len(words.hashes) + 4)
+    out = stored((pairs if said is None else pairs.unionByName(said)).groupBy("p").applyInArrow(run, _BLOB), "sweep")
+    got = out.where("p = -1").select("key").repartition(4).mapInArrow(added, "s binary").collect()
+    total = np.sum([np.frombuffer(bytes(r[0])) for r in got], axis=0) if got else np.zeros(2 * words.contexts + len(words.hashes) + 4)
+    kept = out.where("p >= 0")
+    kept._stored_at = out._stored_at
+    return total, kept
 
 
 def _state(total: np.ndarray, words: Words, before: State | None, rng: np.random.Generator, theta: float, theta0: float) -> State:
@@ -323,18 +414,56 @@ class Model:
     sweeps: list[tuple[int, State, State]]
     seed: int
 
-    def pair_probabilities(self, columns: list[np.ndarray], p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def common_probabilities(self, columns: list[np.ndarray], p: int) -> np.ndarray:
+        """Averages for a partition's pairs of common words."""
+        out = 0.0
+        for sweep, before, after in self.sweeps:
+            context, code, t = common_tables(columns, before, _rng(self.seed, sweep, p))
+            out = out + after.pair(columns[1], t, context, after.p_common[code])
+        return out / len(self.sweeps)
+
+    def pair_probabilities(self, columns: list[np.ndarray], p: int, said: dict[int, Said]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Averages for a partition's common pairs and rare pairs; distinct rare words, their root probabilities by
-        sample, and which of them each rare pair has."""
+        sample, and how often each was seen."""
         _, n, _, _, m = columns
         one, two, roots = 0.0, 0.0, []
         for sweep, before, after in self.sweeps:
-            s = sample(columns, before, _rng(self.seed, sweep, p))
+            s = sample(columns, before, _rng(self.seed, sweep, p), said.get(sweep - 1, []))
             root = after.root(s["customers"], s["under"])
             roots.append(root)
             one = one + after.pair(n, s["t"], s["context"], after.p_common[s["code"]])
             two = two + after.pair(m, s["tables"], s["at"], root[s["which"]])
-        return one / len(self.sweeps), two / len(self.sweeps), s["names"], np.array(roots), s["which"]
+        return one / len(self.sweeps), two / len(self.sweeps), s["names"], np.array(roots), s["seen"]
+
+    def far_scores(self, columns: list[np.ndarray], p: int, said: dict[int, Said], tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> list[np.ndarray]:
+        """Average probabilities of tokens (context, word, root probabilities by sample if rare) after rare contexts."""
+        key, n, word, _, _ = columns
+        bounds = np.unique(key, return_index=True)
+        ends = np.append(bounds[1][1:], len(key))
+        out = [0.0] * len(tokens)
+        places = []
+        for context, w, _ in tokens:
+            place, known = lookup(bounds[0], context)
+            spot, seen = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+            if len(key):
+                lo, hi = bounds[1][place].copy(), ends[place].copy()
+                last = hi.copy()
+                while (open_ := lo < hi).any():  # by halves within each context's words
+                    mid = (lo + hi) // 2
+                    less = open_ & (word[np.minimum(mid, len(word) - 1)] < w)
+                    lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+                spot = np.minimum(lo, len(word) - 1)
+                seen = known & (lo < last) & (word[spot] == w)
+            places.append((place, known, spot, seen))
+        for k, (sweep, before, after) in enumerate(self.sweeps):
+            s = far_sample(columns, before, _rng(self.seed, sweep, p), said.get(sweep - 1, []), p)
+            for i, ((_, w, roots), (place, known, spot, seen)) in enumerate(zip(tokens, places, strict=True)):
+                parent = after.p_common[w.astype(np.int64)] if roots is None else roots[k]
+                if len(key):
+                    held = np.where(seen, n[spot] - after.d * s["t"][spot], 0.0)
+                    parent = np.where(known, (held + (after.theta + after.d * s["tables"][place]) * parent) / (after.theta + s["customers"][place]), parent)
+                out[i] = out[i] + parent / len(self.sweeps)
+        return out
 
     def unseen(self, context: np.ndarray, roots: np.ndarray) -> np.ndarray:
         """Average probability of words not seen in their contexts; roots: by sample and token."""
@@ -350,10 +479,11 @@ def _hot(pairs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(len(b)):
+                p = b.column("p")[k].as_py()
                 columns = _all(b.slice(k, 1))
                 hot = columns[1] >= least
-                if hot.any():
-                    one = shared.value.pair_probabilities(columns, b.column("p")[k].as_py())[0]
+                if p < shared.value.words.parts and hot.any():
+                    one = shared.value.common_probabilities(columns, p)
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0][hot].view(np.int64)), pa.array(one[hot])], ["key", "x"])
 
     got = pairs.mapInArrow(run, "key long, x double").toPandas().sort_values("key")
@@ -367,7 +497,7 @@ def _log_counts(c: np.ndarray) -> np.ndarray:
 _PARTS = "p int, batch long, head boolean, id binary, key binary, n binary, word binary, at binary, m binary, x binary, y binary, z binary"
 
 
-def _scored(docs: DataFrame, pairs: DataFrame, model: Model, id_type: str) -> DataFrame:
+def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id_type: str) -> DataFrame:
     words = model.words
     hot_keys, hot_values = _hot(pairs, model)
     spark = docs.sparkSession
@@ -386,11 +516,10 @@ def _scored(docs: DataFrame, pairs: DataFrame, model: Model, id_type: str) -> Da
                 batch = TaskContext.get().partitionId() << 32 | number
                 number += 1
                 doc = np.repeat(np.arange(len(lengths)), lengths).astype(np.uint32)
-                rare = code >= RARE
-                key, at, of = pair_keys(code[~rare], context[~rare]), context[~rare], doc[~rare]
-                known = code[~rare].astype(np.int64)
-                logs = np.bincount(of, _log_counts(own.words.counts)[known], len(lengths))
-                n_known = np.bincount(of, minlength=len(lengths))
+                far, rare = context >= RARE, code >= RARE
+                logs = np.bincount(doc[~rare], _log_counts(own.words.counts)[code[~rare].astype(np.int64)], len(lengths))
+                n_known = np.bincount(doc[~rare], minlength=len(lengths))
+                key, of = pair_keys(code[~rare & ~far], context[~rare & ~far]), doc[~rare & ~far]
                 place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
                 hot = keys[place] == key if len(keys) else np.zeros(len(key), bool)
                 score = np.bincount(of[hot], np.log10(hot_values[place[hot]]), len(lengths))
@@ -401,12 +530,14 @@ def _scored(docs: DataFrame, pairs: DataFrame, model: Model, id_type: str) -> Da
                 yield batch_of([(-1 - batch % 1009, batch, True, sink.getvalue().to_pybytes(), squeezed(lengths.astype(np.uint64)), None, None, None, squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None)])
                 order = np.argsort(key[~hot], kind="stable")
                 key, of = key[~hot][order], of[~hot][order]
-                word, at2, doc2 = code[rare], context[rare], doc[rare]
-                order = np.argsort(word, kind="stable")
-                word, at2, doc2 = word[order], at2[order], doc2[order]
-                rows = []
-                for p, (a, c) in _dealt(own.words.parts, (part_of(key, own.words.parts), (key, of)), (part_of(word, own.words.parts), (word, at2, doc2))):
-                    rows.append((p, batch, False, None, squeezed(a[0], True), squeezed(a[1]), squeezed(c[0], True), squeezed(c[1]), squeezed(c[2]), None, None, None))
+                rows, parts = [], own.words.parts
+                near, both = ((part_of(code[k], parts), (code[k], context[k], doc[k])) for k in (o[np.argsort(code[o], kind="stable")] for o in (np.flatnonzero(rare & ~far), np.flatnonzero(rare & far))))
+                for p, (a, c, e) in _dealt(parts, (part_of(key, parts), (key, of)), near, both):
+                    rows.append((p, batch, False, None, squeezed(a[0], True), squeezed(a[1]), squeezed(c[0], True), squeezed(c[1].astype(np.uint32)), squeezed(c[2]), squeezed(e[0], True), squeezed(e[1]), squeezed(e[2])))
+                k = np.flatnonzero(far & ~rare)
+                k = k[np.argsort(context[k], kind="stable")]
+                for q, ((u, w, d),) in _dealt(parts, (part_of(context[k], parts), (context[k], code[k], doc[k]))):
+                    rows.append((parts + q, batch, False, None, squeezed(u, True), squeezed(d), squeezed(w.astype(np.uint32)), None, None, None, None, None))
                 for k in range(0, len(rows), 64):
                     yield batch_of(rows[k : k + 64])
 
@@ -417,16 +548,14 @@ def _scored(docs: DataFrame, pairs: DataFrame, model: Model, id_type: str) -> Da
         out = []
         own = shared.value[0]
         p = left.column("p")[0].as_py()
-        if p < 0:
+        if p < 0 or p >= own.words.parts:
             return left
-        columns = _all(right) if len(right) else [np.empty(0, d) for d in (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)]
-        one, two, names_, roots, _ = own.pair_probabilities(columns, p)
-        pkey, _, pword, pat, pm = columns
-        start = np.searchsorted(pword, names_)  # pairs are sorted by word, then context
-        total = np.add.reduceat(pm.astype(np.int64), start) if len(start) else np.empty(0, np.int64)
+        columns, said_ = _parted(right)
+        one, two, names_, roots, total = own.pair_probabilities(columns, p, said_)
+        pkey, _, pword, pat, _ = columns
         join = (np.searchsorted(names_, pword).astype(np.uint64) << np.uint64(CONTEXT_BITS)) | pat.astype(np.uint64)
         unknown = np.array([after.new_mass() * after.unknown / (after.theta0 + after.root_customers) for _, _, after in own.sweeps])
-        for batch, key, n, word, at, m in zip(*(left.column(c).to_pylist() for c in ("batch", *_COLUMNS)), strict=True):
+        for batch, key, n, word, at, m, word2, at2, doc2 in zip(*(left.column(c).to_pylist() for c in ("batch", *_COLUMNS, "x", "y", "z")), strict=True):
             key, of = opened(key, np.uint64, True), opened(n, np.uint32)
             word, at, doc = opened(word, np.uint64, True), opened(at, np.uint32).astype(np.int64), opened(m, np.uint32)
             place = np.minimum(np.searchsorted(pkey, key), max(0, len(pkey) - 1))
@@ -446,10 +575,34 @@ def _scored(docs: DataFrame, pairs: DataFrame, model: Model, id_type: str) -> Da
             y[both] = two[spot[both]]
             who, back = np.unique(np.concatenate([of, doc]), return_inverse=True)
             score = np.bincount(back, np.log10(np.concatenate([x, y])), len(who))
-            rare, back = np.unique(doc, return_inverse=True)
             c = np.where(known, total[place], 0) if len(total) else np.zeros(len(word), np.int64)
+            # after rare contexts, words go on to those with their root probabilities
+            word2, at2, doc2 = opened(word2, np.uint64, True), opened(at2, np.uint64), opened(doc2, np.uint32)
+            place, known = lookup(names_, word2)
+            c2 = np.where(known, total[place], 0) if len(total) else np.zeros(len(word2), np.int64)
+            root = np.where(known, roots[:, place], unknown[:, None]) if len(names_) else np.repeat(unknown[:, None], len(word2), 1)
+            order = np.argsort(at2, kind="stable")
+            for q, ((u, w, d, *r),) in _dealt(own.words.parts, (part_of(at2[order], own.words.parts), (at2[order], word2[order], doc2[order], *root[:, order]))):
+                out.append((own.words.parts + q, batch, False, None, squeezed(u, True), squeezed(d), squeezed(w), None, None, squeezed(np.concatenate(r)), None, None))
+            c, (rare, back) = np.concatenate([c, c2]), np.unique(np.concatenate([doc, doc2]), return_inverse=True)
             logs, n_known = np.bincount(back, _log_counts(c), len(rare)), np.bincount(back, c > 0, len(rare))
-            out.append((p, batch, False, None, None, squeezed(who), None, squeezed(rare), squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None))
+            out.append((-1 - batch % 1009, batch, False, None, None, squeezed(who), None, squeezed(rare), squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None))
+        return pa.Table.from_batches([batch_of(out)])
+
+    def looked_up_far(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Sums by document of the tokens after one partition's rare contexts; all else passes as it is."""
+        own = shared.value[0]
+        if not len(left) or left.column("p")[0].as_py() < 0:
+            return left
+        tokens, docs_ = [], []
+        for key, n, word, x in zip(*(left.column(c).to_pylist() for c in ("key", "n", "word", "x")), strict=True):
+            tokens.append((opened(key, np.uint64, True), opened(word, np.uint32 if x is None else np.uint64).astype(np.uint64), None if x is None else opened(x, float).reshape(len(own.sweeps), -1)))
+            docs_.append(opened(n, np.uint32))
+        columns, said_ = _parted(right)
+        out = []
+        for batch, doc, x in zip(left.column("batch").to_pylist(), docs_, own.far_scores(columns, left.column("p")[0].as_py(), said_, tokens), strict=True):
+            who, back = np.unique(doc, return_inverse=True)
+            out.append((-1 - batch % 1009, batch, False, None, None, squeezed(who), None, squeezed(_NONE), squeezed(_NONE), squeezed(np.bincount(back, np.log10(x), len(who))), squeezed(np.empty(0)), None))
         return pa.Table.from_batches([batch_of(out)])
 
     constant = np.log10(words.tokens + words.kinds + 1)
@@ -472,7 +625,9 @@ def _scored(docs: DataFrame, pairs: DataFrame, model: Model, id_type: str) -> Da
         return pa.table({"doc_id": ids, "n_tokens": lengths, "n_known": n_known, "train_tokens": np.full(n, words.tokens, np.int64), "base_score": logs - lengths * constant, "score": score})
 
     parts = docs.mapInArrow(read, _PARTS)
-    sums = parts.groupBy("p").cogroup(pairs.groupBy("p")).applyInArrow(looked_up, _PARTS)
+    known = pairs.unionByName(said)
+    sums = parts.groupBy("p").cogroup(known.where(F.col("p") < words.parts).groupBy("p")).applyInArrow(looked_up, _PARTS)
+    sums = sums.groupBy("p").cogroup(known.where(F.col("p") >= words.parts).groupBy("p")).applyInArrow(looked_up_far, _PARTS)
     return sums.groupBy("batch").applyInArrow(summed, f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -485,11 +640,19 @@ def score(docs: DataFrame, train: Column | None = None, common: int = 1 << 16, t
     words = _vocabulary(learned, min(common, (1 << CONTEXT_BITS) - 2))
     pairs = stored(_pair_counts(learned, words), "pairs")
     rng = np.random.default_rng([seed, 1])
-    now = _state(_sums(pairs, words, None, seed, 0), words, None, rng, theta, theta0)
-    sweeps = []
+    # rare contexts' partitions speak first, so that all rare words are known where they are seated
+    _, first = _sums(pairs.where(F.col("p") >= words.parts), None, words, None, seed, -1)
+    total, said = _sums(pairs, first, words, None, seed, 0)
+    drop_stored(first)
+    now, sweeps, kept = _state(total, words, None, rng, theta, theta0), [], []
     for sweep in range(1, BURN_IN + SAMPLES + 1):
-        after = _state(_sums(pairs, words, now, seed, sweep), words, now, rng, theta, theta0)
+        total, more = _sums(pairs, said, words, now, seed, sweep)
+        after = _state(total, words, now, rng, theta, theta0)
         if sweep > BURN_IN:
             sweeps.append((sweep, now, after))
-        now = after
-    return _scored(docs, pairs, Model(words, sweeps, seed), docs.schema["doc_id"].dataType.simpleString())
+            kept.append(said)
+        else:
+            drop_stored(said)
+        now, said = after, more
+    drop_stored(said)
+    return _scored(docs, pairs, reduce(DataFrame.unionByName, kept), Model(words, sweeps, seed), docs.schema["doc_id"].dataType.simpleString())
