@@ -253,9 +253,10 @@ def _references(spark: SparkSession, path: str, id_type: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str, id_type: str = "bigint", width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document of a store, from its chunks and recipes, all checked.
+    """doc_id, start, n_tokens, ids_crc32 of every document of a store, from its chunks, recipes and ranges, all checked.
 
     A chunk's crc is computed once; a document's follows from its chunks' by appending, so ids themselves aren't shuffled."""
+    verify_manifest(spark, path, id_type)
     chunks = _part(spark, path, "chunk", id_type).select("key", "ids").mapInArrow(_checked(width), "key binary, n long, crc long")
     found = _references(spark, path, id_type).join(chunks, "key", "left")
     per = found.groupBy("bucket", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc", "key"))).alias("p"))
@@ -296,23 +297,27 @@ def read_ids(spark: SparkSession, path: str, id_type: str = "bigint", width: int
 
 def verify_manifest(spark: SparkSession, path: str, id_type: str = "bigint") -> bytes:
     """The store's root over its ranges, after each range's recipes were checked against the manifest."""
-    recipes = _part(spark, path, "recipe", id_type).select("bucket", "row", "doc_id", "n_tokens", "root").repartition("bucket").sortWithinPartitions("bucket", "row")
+    recipes = _part(spark, path, "recipe", id_type).select("bucket", "row", "doc_id", "start", "n_tokens", "root").repartition("bucket").sortWithinPartitions("bucket", "row")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree = None, Tree()
-        one = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([tree.root()], pa.binary())], ["bucket", "root"])
+        at, tree, rows, total = None, Tree(), 0, 0
+        one = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([rows], pa.int64()), pa.array([total], pa.int64()), pa.array([tree.root()], pa.binary())], ["bucket", "row", "n_tokens", "root"])
         for b in batches:
-            for bucket, i, n, root in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "n_tokens", "root")), strict=True):
+            for bucket, row, i, start, n, root in zip(*(b.column(c).to_pylist() for c in ("bucket", "row", "doc_id", "start", "n_tokens", "root")), strict=True):
                 if bucket != at:
                     if at is not None:
                         yield one()
-                    at, tree = bucket, Tree()
+                    at, tree, rows, total = bucket, Tree(), 0, 0
+                if (row, start) != (rows, total):
+                    raise ValueError(f"range {bucket} lacks recipes, or they are out of place")
                 tree.add(leaf(i, n, root))
+                rows, total = rows + 1, total + n
         if at is not None:
             yield one()
 
-    got = {r[0]: bytes(r[1]) for r in recipes.mapInArrow(roots, "bucket int, root binary").collect()}
-    said = {r[0]: bytes(r[1]) for r in _part(spark, path, "range", id_type).select("bucket", "root").collect()}
-    if got != said:
+    got = {r[0]: (r[1], r[2], bytes(r[3])) for r in recipes.mapInArrow(roots, "bucket int, row long, n_tokens long, root binary").collect()}
+    ranges = {r[0]: (r[1], r[2], bytes(r[3])) for r in _part(spark, path, "range", id_type).select("bucket", "row", "n_tokens", "root").collect()}
+    said = {k: root for k, (_, _, root) in ranges.items()}
+    if got != ranges:
         raise ValueError("the recipes don't match the manifest")
     return merkle([said[k] for k in sorted(said)])
