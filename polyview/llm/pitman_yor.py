@@ -6,7 +6,8 @@ word. Every word has a restaurant, and so has the start of a text.
 
 Seating is sampled by Gibbs sweeps in blocks: given the contexts' tables T_u and the root's probabilities P(w) of the sweep
 before, the c customers of a dish are seated anew one after another, each at a new table with odds
-(theta + d T_u) P(w) to (n - d t); beyond EXACT customers, in blocks that double. Dishes are independent then, so a
+(theta + d T_u) P(w) to (n - d t); beyond EXACT customers, in blocks of a
+sixteenth of those seated, with the chance at a block's middle. Dishes are independent then, so a
 sweep is a map over partitions of (word, context) counts, followed by sums for the contexts and the words. The
 predictive probability (c - d t + (theta + d T_u) P(w)) / (theta + C_u) is averaged over the samples after burn-in, and a text's
 score is the sum of log10 of these averages. Discounts come from the counts of counts.
@@ -249,10 +250,11 @@ def seated(n: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -
     live = np.flatnonzero(n > 1)
     sat = 1
     while len(live):
-        block = np.minimum(n[live] - sat, 1 if sat < EXACT else sat)
-        chance = new[live] / (new[live] + np.maximum(sat - d * t[live], 1e-9))
+        step = 1 if sat < EXACT else sat // 16
+        block = np.minimum(n[live] - sat, step)
+        chance = new[live] / (new[live] + np.maximum(sat + (block - 1) / 2 - d * t[live], 1e-9))
         t[live] += rng.random(len(live)) < chance if sat < EXACT else rng.binomial(block, chance)
-        sat += 1 if sat < EXACT else sat
+        sat += step
         live = live[n[live] > sat]
     return t
 
