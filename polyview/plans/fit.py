@@ -4,8 +4,8 @@ A sweep is one map over the rows (new categories in every view of every state, g
 (sufficient statistics of all columns under all partitions, partial sums before the shuffle), and draws on the driver whose size
 doesn't grow with the rows: column moves between views by their marginal likelihoods, with a fresh view as a further
 candidate, weights, components, prior parameters and the partition processes. Row kernels: ``finite`` (weights with an empty
-category to spare) and ``slice`` (exact: only categories whose weight exceeds a row's slice variable, the remaining stick broken until
-it is smaller than all of them)."""
+category to spare) and ``slice`` (only categories whose weight exceeds a row's slice variable; truncated: at most 8 new categories are
+broken from the stick in a sweep, one from 255 categories on, whatever the rows' slice variables are)."""
 
 from __future__ import annotations
 
