@@ -24,7 +24,7 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """node, component (the smallest node of its component) for each node that has an edge to another one."""
+    """node, component (the smallest node of its component) for each node that has an edge to another one, as a stored table."""
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = stored(now.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     last = None
@@ -39,4 +39,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         drop_stored(wide)
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stored(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop_stored(now)
+    return out
