@@ -1,9 +1,13 @@
 """Token ids of whole texts by the tokenizers library, with each distinct piece of text encoded once per worker.
 
 Both vocabularies cut a text at white space before they merge anything, so a text's ids are those of its
-pieces in order. The pieces are words (with the one space before them where the vocabulary keeps spaces) and
-runs of white space; a worker process remembers their ids, within a bound. Texts with white space or control
-characters beyond ASCII's six, or with the string of a special token, go to the library whole.
+pieces in order. Where the vocabulary drops white space, the pieces are the words. Where it keeps it, a piece is a word
+with the space before it, a word without one (after a line break, and at the start), a space or a line break: so a run
+of white space is cut by the library too, unless it has three characters and more or ends the text with two. A worker process
+remembers the pieces' ids, within a bound. Texts with such runs, with other white space or control
+characters than spaces and line breaks, or with the string of a special token, go to the library whole.
+
+Strings of special tokens in a text get the special ids, as the library does it; ``plain`` takes them as ordinary text.
 """
 
 from __future__ import annotations
@@ -15,30 +19,72 @@ from collections.abc import Iterable
 
 import numpy as np
 
-_PIECE = {
-    True: re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]"),
-    False: re.compile(r"[^ \t\n\r\x0b\x0c]+"),
-}
-_ODD = "\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\ud800-\udfff"
+#: Characters that regular expressions may count as white space or that normalisation may drop; surrogates can't be encoded.
+_ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿\ud800-\udfff]")
+#: Bytes of UTF-8 that none of them has, or that have to be looked at.
+_EVEN = bytes(b for b in range(256) if b == 0x0A or 0x20 <= b < 0x7F or 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xE0 or 0xE4 <= b <= 0xEC or b == 0xEE or b >= 0xF0)
+_RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
+_ENDS = ("  ", " \n", "\n ", "\n\n")
+#: Marks a piece without a space before it; no even text has it.
+_BARE = "\x01"
+
+#: Letters that stay one piece and as they are, but for their case, in both vocabularies; marks that are a piece of their own.
+_MARKS = ".,;:!?"
+_PLAIN = re.compile(f"({_BARE}?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{_MARKS}]?)")
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level vocabularies write each byte as a letter: visible characters of Latin-1 stand for themselves, the other bytes for
+    the letters from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+_BYTE = _byte_letters()
+_SPACE = _BYTE[0x20]
+
+
+def is_odd(text: str) -> bool:
+    if text.isascii():
+        return bool(text.encode().translate(None, _EVEN))
+    try:
+        return bool(text.encode().translate(None, _EVEN)) and _ODD.search(text) is not None
+    except UnicodeEncodeError:
+        return True
 
 
 class Encoder:
     """keeps_spaces: whether the vocabulary has tokens for white space (byte-level) or drops it."""
 
-    def __init__(self, path: str, keeps_spaces: bool, dtype: str = "<u4", limit: int = 400_000):
+    def __init__(self, path: str, keeps_spaces: bool, dtype: str = "<u4", limit: int = 400_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.tokenizer.model._resize_cache(0)  # what is met again is in ``known``
         self.specials = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile(f"[{_ODD}]")
-        self.piece, self.dtype, self.limit = _PIECE[keeps_spaces], np.dtype(dtype), limit
+        self.keeps_spaces, self.dtype, self.limit = keeps_spaces, np.dtype(dtype), limit
+        self.marks = {m: [x.id for x in self.tokenizer.model.tokenize(m)] for m in _MARKS}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # pieces move on from here when they are met again
 
-    def is_odd(self, text: str) -> bool:
-        return self.odd.search(text) is not None or any(s in text for s in self.specials)
+    def pieces(self, text: str) -> list[str] | None:
+        """None for a text that has to be encoded whole."""
+        if any(s in text for s in self.specials) or is_odd(text):
+            return None
+        if not self.keeps_spaces:
+            return text.split()
+        if "\n" in text:
+            if any(r in text for r in _RUNS):
+                return None
+            spaced = (_BARE + text).replace("\n", f" \n {_BARE}")
+        else:
+            if "   " in text:
+                return None
+            spaced = _BARE + text
+        return None if text.endswith(_ENDS) else spaced.split(" ")
 
     def whole(self, text: str) -> bytes:
         text = text.encode("utf-8", "replace").decode()
@@ -46,34 +92,68 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers; none for a null."""
-        texts = list(texts)
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
-        cut: dict[str | None, list[str] | None] = {t: None for t in texts}
-        new: set[str] = set()
-        for t in cut:
-            if not (t and self.is_odd(t)):
-                cut[t] = self.piece.findall(t or "")
-                new.update(cut[t])
-        fresh = []
-        for p in new:
-            if p not in self.known:
+        out: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        new: dict[str, None] = {}
+        get, first, copies = self.known.get, {}, []
+        for n, t in enumerate(texts):
+            if first.setdefault(t, n) != n:
+                copies.append((n, first[t]))
+                out.append(None)
+                continue
+            own = self.pieces(t) if t else []
+            if own is None:
+                out.append(self.whole(t))
+                continue
+            ids = list(map(get, own))
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                new.update(dict.fromkeys([own[k] for k in gaps]))
+                waiting.append((len(out), own, ids, gaps))
+                out.append(None)
+            else:
+                out.append(b"".join(ids))
+        if waiting:
+            fresh = []
+            for p in new:
                 if p in self.older:
                     self.known[p] = self.older[p]
                 else:
                     fresh.append(p)
-        self._learn(fresh)
-        get = self.known.__getitem__
-        done = {t: self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in cut.items()}
-        return [done[t] for t in texts]
+            self._learn(fresh)
+            for n, own, ids, gaps in waiting:
+                for k in gaps:
+                    ids[k] = self.known[own[k]]
+                out[n] = b"".join(ids)
+        for n, k in copies:
+            out[n] = out[k]
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 50_000):
-            part = pieces[at : at + 50_000]
-            one = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+        """Plain words, perhaps with a mark behind them, are merged by the library's model at once; its whole chain of
+        normalisation and cutting, which leaves them as they are, costs as much again. All else takes that way."""
+        tokenize, dtype, known, marks, rest = self.tokenizer.model.tokenize, self.dtype, self.known, self.marks, []
+        for p in pieces:
+            m = _PLAIN.fullmatch(p)
+            if m is None:
+                rest.append(p)
+                continue
+            bare, word, mark = m.groups()
+            if not self.keeps_spaces:
+                word = word.lower()
+            if not word.isascii():
+                word = "".join(map(_BYTE.__getitem__, word.encode()))
+            ids = [x.id for x in tokenize(word if bare or not self.keeps_spaces else _SPACE + word)]
+            known[p] = np.array(ids + marks[mark] if mark else ids, dtype).tobytes()
+        for at in range(0, len(rest), 50_000):
+            part = rest[at : at + 50_000]
+            texts = part if not self.keeps_spaces else [p if p == "\n" else p[1:] if p.startswith(_BARE) else f" {p}" for p in part]
+            one = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
             ends = np.searchsorted(np.array(one.word_ids, np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize
             raw, ends = np.array(one.ids, self.dtype).tobytes(), ends.tolist()
-            self.known.update((p, raw[a:b]) for p, a, b in zip(part, ends[:-1], ends[1:], strict=True))
+            known.update((p, raw[a:b]) for p, a, b in zip(part, ends[:-1], ends[1:], strict=True))
 
     def in_steps(self, texts: list[str | None], chars: int = 4_000_000) -> Iterable[bytes]:
         """encode() over stretches of about so many characters, which bounds what a step holds."""
@@ -86,6 +166,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, keeps_spaces: bool, dtype: str = "<u4") -> Encoder:
+def encoder(path: str, keeps_spaces: bool, dtype: str = "<u4", plain: bool = False) -> Encoder:
     """One for each worker process, so what it remembers outlasts a task."""
-    return Encoder(path, keeps_spaces, dtype)
+    return Encoder(path, keeps_spaces, dtype, plain=plain)
