@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same class where the regular expression engine is Java's or DuckDB's.
 SPACES = r"[\x20\x09-\x0D]+"
 SCRATCH = "/tmp/checkpoints"
+#: Ids that are broadcast at most, some 16 MB.
+MOST_IDS = 1 << 20
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -84,6 +86,13 @@ def drop_stored(*tables: DataFrame) -> None:
             _delete(t.sparkSession, t._stored_at)
 
 
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in the one column of ``ids``; rows without an id stay. The ids are written and
+    counted; up to MOST_IDS of them are broadcast, so no text is shuffled, and more are left to a join by shuffle."""
+    bad = stored(ids.select(F.col(ids.columns[0]).alias("_bad")).where("_bad is not null").distinct(), "ids")
+    return docs.join(F.broadcast(bad) if bad.count() <= MOST_IDS else bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -5,8 +5,9 @@ item) stand in the text in the same places but for at most ``2 * words // WINDOW
 names the word positions that a seed looks at; each window with so few substitutions agrees with the item on
 one of MASKS wholly (two masks of six words for windows of 13, checked over all placements; a run of
 three words for items under WINDOW words), so the equal hashes of seeds find every overlap. Each hit is verified on the
-words around it, in the row where it was found. The texts are never shuffled: the item's seeds, each with the
-words within a window of it, are broadcast while they are fewer than MAX_BROADCAST, else joined by shuffle.
+words around it, in the row where it was found. The texts are never shuffled. While the items' seeds are fewer than
+MAX_BROADCAST, they are broadcast, each with the words within a window of it. Beyond that, the hashes of both sides are shuffled, one short
+row a position, and the places of the hits alone, again by broadcast or shuffle, go back to the texts.
 
 Items of fewer than MIN_WORDS words, null or empty, match nothing, as do null and empty texts. Repeated items are reported each
 by its id, and rows of one document id are reported together. Columns other than ids and texts are ignored.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.llm.common import SPACES
+from polyview.llm.common import SPACES, stored, without
 
 WINDOW, MIN_WORDS = 13, 6
 #: Positions that a seed compares: the first two for items of WINDOW words and more, the last for shorter ones.
@@ -54,18 +55,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     first and last word of overlapping windows, from 0) and best (most equal words in a window)."""
     known = seeds(benchmark, item_id, item_text)
     some = {r["short"]: r["n"] for r in known.groupBy((F.col("w") < WINDOW).alias("short")).agg(F.count("*").alias("n")).collect()}
-    if sum(some.values()) <= MAX_BROADCAST:
-        known = F.broadcast(known)
     used = [k for k in range(len(MASKS)) if some.get(k == 2)]
     own = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("d"))
     # outer: else the planner adds a filter that computes the words twice
     at = own.select("doc_id", "d", F.explode_outer(F.sequence(F.lit(0), F.size("d") - 1)).alias("p"))
     tried = at.select("doc_id", "d", "p", F.explode(F.array(*[_seed(F.col("d"), F.col("p"), k) for k in used or [0]])).alias("h"))
+    if sum(some.values()) <= MAX_BROADCAST:
+        tried = tried.join(F.broadcast(known), "h")
+    else:
+        # A text is known by its hash here; if two share one, windows are tried in both, and verified.
+        places = tried.select("doc_id", F.xxhash64("d").alias("_t"), "p", "h").distinct()
+        places = stored(places.join(known, "h").drop("h"), "hits")
+        few = places.count() <= MAX_BROADCAST
+        places = places.withColumnsRenamed({"doc_id": "_d"})
+        own = own.withColumn("_k", F.xxhash64("d"))
+        tried = own.join(F.broadcast(places) if few else places, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     # Only the words around a hit leave the stage in which the text is read, not the text. The last column keeps the planner
     # from moving the verification, which isn't compiled, into the join.
     start = F.col("p") - F.col("q") + F.col("lo")
     first = F.greatest(start, F.lit(0))
-    hits = tried.join(known, "h").select(
+    hits = tried.select(
         "doc_id", "item_id", "w", "miss", "near", start.alias("start"), F.size("d").alias("size"), F.slice("d", first + 1, F.greatest(F.lit(0), F.size("near") - (first - start))).alias("own"), (first - start).alias("skip"), F.monotonically_increasing_id().alias("_apart")
     )
     # Equal words at each place of the item's stretch, then each window in it.
@@ -79,5 +88,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose id overlaps an item; rows without an id stay."""
-    bad = overlaps(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_bad")).where(F.col("_bad").isNotNull()).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+    return without(docs, overlaps(docs, benchmark, doc_id, text).select("doc_id"), doc_id)
