@@ -1,11 +1,12 @@
 """License scan by canonical digest lookup.
 
-A text is put into a canonical form: lower case, copyright lines removed, equivalent spellings unified, each
+A text is put into a canonical form: lower case, copyright lines (with a year, (c) or the sign) removed, equivalent spellings unified, each
 run of characters other than letters, digits and line breaks replaced by one space. Its units are the whole
 text, every block between blank lines and every line. The SHA-256 digests of the units are joined to the
 digests of the known licences' texts in the same form; a unit matches only as a whole. Known texts of several
 blocks are found wherever they stand in a text: where one may begin (its first ANCHOR words), the digest of as many
-words as it has is a unit too, so titles, text around it, other line breaks and comment marks don't matter.
+words as it has is a unit too, so titles, text around it, other line breaks and comment marks don't matter. Long licences are
+known by their digests alone.
 
 Null and empty texts have no unit and no licence. Rows with the same id are reported together in one row;
 a null id is an id like any other. Only the id and the text are read.
@@ -65,12 +66,26 @@ KNOWN: dict[str, tuple[str, ...]] = {
     ),
 }
 
+#: Licence id, number of words, first words and digest of the canonical forms of long licences as their
+#: stewards publish them, from title to end; Apache-2.0 also without its appendix.
+LONG: tuple[tuple[str, int, str, str], ...] = (
+    ("Apache-2.0", 1608, "apache license version", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Apache-2.0", 1431, "apache license version", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("GPL-2.0", 2975, "gnu general public", "cf74dfa78ca9ac981c7ae9e50c4ecfb828df2e5ef2f1646368388676215766b5"),
+    ("GPL-3.0", 5684, "gnu general public", "d0789f68ce73b9e5aca95bb2dba2f119b08a484f0c2b8875edd430f7ac40622c"),
+    ("LGPL-2.1", 4401, "gnu lesser general", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-3.0", 1231, "gnu lesser general", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", 2426, "mozilla public license", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("CC0-1.0", 1088, "creative commons legal", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+)
+
 #: A join to more known digests than this is left to the planner instead of broadcast.
 MAX_BROADCAST = 50_000
 #: Words by which the beginning of a known text of several blocks is found.
 ANCHOR = 3
 
-_COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:©|\(c\)|copyright)[^\n]*$"
+#: In lower case. What merely begins with the word, as wrapped lines of licence texts do, isn't one.
+_COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:©|(?:\(c\)|copyright)[^\n]*?(?:[12][0-9]{3}|©|\(c\)))[^\n]*$"
 _MARKS = r"[^\p{L}\p{N}\n]+"
 
 
@@ -83,13 +98,18 @@ def canonical_text(text: str) -> str:
     return text
 
 
-def known_digests(known: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
-    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, texts in known.items() for t in texts})
+Long = tuple[tuple[str, int, str, str], ...]
+
 
+def known_digests(known: dict[str, tuple[str, ...]], long: Long = ()) -> list[tuple[str, str]]:
+    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, texts in known.items() for t in texts} | {(digest, name) for name, _, _, digest in long})
 
-def known_spans(known: dict[str, tuple[str, ...]]) -> dict[str, dict[int, set[str]]]:
+
+def known_spans(known: dict[str, tuple[str, ...]], long: Long = ()) -> dict[str, dict[int, set[str]]]:
     """Of the known texts of several blocks: numbers of words and digests by their first words."""
     out: dict[str, dict[int, set[str]]] = {}
+    for _, n, first, digest in long:
+        out.setdefault(first, {}).setdefault(n, set()).add(digest)
     for texts in known.values():
         for t in texts:
             words = canonical_text(t).split(" ")
@@ -119,29 +139,37 @@ def canonical(text: Column) -> Column:
     """The canonical form with line breaks kept."""
     out = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _MARKS, " ")
     found = "(?<![\\p{L}\\p{N}])(?:" + "|".join(a for a, _ in SPELLINGS) + ")(?![\\p{L}\\p{N}])"
-    fixed = F.regexp_replace(out, r"\n", " \n ")
+    fixed = F.replace(F.regexp_replace(out, r"\n", " \n "), F.lit(" "), F.lit("  "))  # each word has a space of its own on either side
     for a, b in SPELLINGS:
-        fixed = F.replace(fixed, F.lit(f" {a} "), F.lit(f" {b} "))
-    fixed = F.regexp_replace(fixed, " ?\n ?", "\n")
+        fixed = F.replace(fixed, F.lit(f" {a} ".replace(" ", "  ")[1:-1]), F.lit(f" {b} ".replace(" ", "  ")[1:-1]))
+    fixed = F.replace(F.regexp_replace(fixed, " *\n *", "\n"), F.lit("  "), F.lit(" "))
     return F.when(F.regexp_like(out, F.lit(found)), fixed).otherwise(out)
 
 
-def scan(docs: DataFrame, known: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text", long: Long | None = None) -> DataFrame:
     """Per id: license_ids (sorted, joined by commas, empty if none), n_units (distinct matching units), whole (the
-    whole text is a known licence)."""
+    whole text is a known licence). known and long: KNOWN and LONG without either."""
     spark: SparkSession = docs.sparkSession
-    rows = known_digests(KNOWN if known is None else known)
+    long = (LONG if known is None else ()) if long is None else long
+    rows = known_digests(KNOWN if known is None else known, long)
     table = spark.createDataFrame(rows or [("", "")], "digest string, license string").where(F.col("digest") != "")
     table = F.broadcast(table) if len(rows) <= MAX_BROADCAST else table
-    flat = lambda c: F.trim(F.regexp_replace(c, "[ \n]+", " "))
+
+    def flat(c: Column) -> Column:
+        """Without line breaks; spellings of several words may have stood across one. Twice, for neighbours share a space."""
+        out = F.regexp_replace(c, "[ \n]+", " ")
+        for a, b in [x for x in SPELLINGS if " " in x[0]] * 2:
+            out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+        return F.trim(out)
+
     canon = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.concat(F.lit(" "), F.col(text), F.lit(" "))).alias("c"))
     units = canon.select(
         "doc_id",
-        flat(F.col("c")).alias("w"),
-        F.array_union(F.transform(F.split("c", r"\n ?\n"), flat), F.transform(F.split("c", "\n"), lambda x: F.trim(x))).alias("u"),
+        flat(F.concat(F.lit(" "), F.col("c"), F.lit(" "))).alias("w"),
+        F.array_union(F.transform(F.split("c", r"\n ?\n"), lambda x: flat(F.concat(F.lit(" "), x, F.lit(" ")))), F.transform(F.split("c", "\n"), lambda x: F.trim(x))).alias("u"),
     )
     every = F.transform(F.array_union(F.array("w"), "u"), lambda x: F.sha2(x, 256))
-    spans = known_spans(KNOWN if known is None else known)
+    spans = known_spans(KNOWN if known is None else known, long)
     if spans:
 
         @F.pandas_udf("array<string>")

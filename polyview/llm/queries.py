@@ -75,17 +75,20 @@ QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_decontamination, op3_best
 
 
 def _license_sql() -> str:
-    known = ", ".join(f"('{d}', '{n}')" for d, n in licenses.known_digests(licenses.KNOWN))
-    fixed = "regexp_replace(o, '\\n', ' \n ', 'g')"
+    known = ", ".join(f"('{d}', '{n}')" for d, n in licenses.known_digests(licenses.KNOWN, licenses.LONG))
+    fixed = "replace(regexp_replace(o, '\\n', ' \n ', 'g'), ' ', '  ')"
     for a, b in licenses.SPELLINGS:
-        fixed = f"replace({fixed}, ' {a} ', ' {b} ')"
+        fixed = "replace({}, '{}', '{}')".format(fixed, *(f" {x} ".replace(" ", "  ")[1:-1] for x in (a, b)))
+    whole, block = "regexp_replace(' ' || c || ' ', '[ \\n]+', ' ', 'g')", "regexp_replace(' ' || unnest(regexp_split_to_array(c, '\\n ?\\n')) || ' ', '[ \\n]+', ' ', 'g')"
+    for a, b in [x for x in licenses.SPELLINGS if " " in x[0]] * 2:
+        whole, block = (f"replace({x}, ' {a} ', ' {b} ')" for x in (whole, block))
     return f"""
 WITH known(digest, license) AS (VALUES {known}),
 low AS (SELECT doc_id, regexp_replace(regexp_replace(lower(' ' || text || ' '), '{licenses._COPYRIGHT}', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS o FROM documents),
-canon AS (SELECT doc_id, regexp_replace({fixed}, ' ?\\n ?', '\n', 'g') AS c FROM low),
+canon AS (SELECT doc_id, replace(regexp_replace({fixed}, ' *\\n *', '\n', 'g'), '  ', ' ') AS c FROM low),
 units AS (
-  SELECT doc_id, sha256(trim(regexp_replace(c, '[ \\n]+', ' ', 'g'))) AS w, NULL AS u, true AS whole FROM canon
-  UNION ALL SELECT doc_id, NULL, sha256(trim(regexp_replace(unnest(regexp_split_to_array(c, '\\n ?\\n')), '[ \\n]+', ' ', 'g'))), false FROM canon
+  SELECT doc_id, sha256(trim({whole})) AS w, NULL AS u, true AS whole FROM canon
+  UNION ALL SELECT doc_id, NULL, sha256(trim({block})), false FROM canon
   UNION ALL SELECT doc_id, NULL, sha256(trim(unnest(string_split(c, '\n')))), false FROM canon),
 hits AS (SELECT doc_id, coalesce(w, u) AS digest, license, whole FROM units JOIN known ON coalesce(w, u) = digest),
 per AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS l, count(DISTINCT digest) AS n, max(whole) AS w FROM hits GROUP BY doc_id)
