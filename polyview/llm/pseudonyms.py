@@ -5,26 +5,28 @@ separators, so equal values get equal pseudonyms in all documents and nothing el
 
 kind    what counts as valid                                        what is permuted
 card    13 to 19 digits, perhaps in groups, with a right Luhn sum   all but the last digit, which is made right again
-phone   +country code and 8 to 12 further digits in groups, or      the digits after the country code
+phone   +country code and 7 to 14 further digits in groups, or      the digits after the country code
         the form (ddd) ddd-dddd or ddd-ddd-dddd
 ssn     ddd-dd-dddd, first group not 000, 666 or 9xx                the nine digits, within the valid numbers
 ipv4    four numbers of 0 to 255                                    the four numbers, each within its width
-date    a calendar date from 1900 to 2099 as yyyy-mm-dd, yyyy/mm/dd,the day's number, within those two centuries
-        dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy, also before a time (T10:00)
+date    a calendar date from 1900 to 2099 as yyyy-mm-dd, yyyy/mm/dd,the day's number within those two centuries, by one map
+        dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy, also before a time     for all forms; days after the 12th of a month among
+        (T10:00). Where both could be, it is dd/mm/yyyy              themselves, so that mm/dd/yyyy reads back as that
 email   an address with a dotted domain                             letters and digits of the local part, by kind
 
 Among other numbers, a card is looked for at the borders of the digits' groups: first in the usual groups, then as all
 digits together, then as any groups of three digits and more (the last may have fewer). If pseudonyms make other groups
-of such a row of numbers right by chance, ``restore`` may take those.
+of such a row of numbers right by chance, rewriting back may take those.
 
 The Feistel network alternates over two halves with keyed BLAKE2b as round function and walks its cycle until
-the value lies in the format's domain, so each map is a bijection of that domain, and ``restore`` inverts
-all but e-mail in kind (same walk backwards). Nulls stay null, empty texts empty; a text without valid values
+the value lies in the format's domain, so each map is a bijection of that domain, and ``rewrite(back=True)`` inverts
+it (the same walk backwards). Nulls stay null, empty texts empty; a text without valid values
 is returned as it was. Rows are independent; other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -149,12 +151,9 @@ class Pseudonyms:
             return None
         if not _FIRST <= day <= _LAST:
             return None
-        # Each form must read back as itself, so where day and month could swap they stay tellable: walk until the form agrees.
-        while True:
-            day = _FIRST + self.permuted("date", _LAST - _FIRST + 1, day - _FIRST, back)
-            new = datetime.date.fromordinal(day)
-            if form != "mdy" or new.day > 12:
-                break
+        late = d > 12
+        days = _days(late)
+        new = datetime.date.fromordinal(days[self.permuted(f"date|{late}", len(days), bisect.bisect_left(days, day), back)])
         parts = {"ymd": (f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"), "dmy": (f"{new.day:02}", f"{new.month:02}", f"{new.year:04}"), "mdy": (f"{new.month:02}", f"{new.day:02}", f"{new.year:04}")}[form]
         mark = re.search(r"\D", found)[0]
         return mark.join(parts)
@@ -238,6 +237,12 @@ class Pseudonyms:
         return a, b, None
 
 
+@lru_cache(2)
+def _days(late: bool) -> list[int]:
+    """Numbers of the days after the 12th of their months, or of the others."""
+    return [day for day in range(_FIRST, _LAST + 1) if (datetime.date.fromordinal(day).day > 12) == late]
+
+
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
