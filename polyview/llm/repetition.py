@@ -3,13 +3,13 @@
 For each length in LENGTHS, the n-grams of a text's words get rolling 64-bit hashes (the hash of n words
 from that of n-1 and the next word, for all positions at once in numpy). A word position is covered if it
 lies in an n-gram whose hash occurred earlier in the text; the measure is the share of the words'
-characters that are covered. Lines count likewise: the share of characters in lines equal to an
+characters (code points) that are covered. Lines count likewise: the share of the text's characters in lines equal to an
 earlier line. A text is kept if it passes the base rules and no share exceeds its limit.
 
 Base counts: words, their code points, symbols, repeated lines, and words in 3-word windows that occur
 twice or more (the first included). Null and empty texts have no words, so all counts are 0 and the base
-rules fail. Each row is measured by itself: repeated rows get equal results, and columns other than the id
-and the text are ignored.
+rules fail. Each row is measured by itself: repeated rows get equal results. Columns other than the text are kept, but
+those that have the name of a measure are replaced.
 """
 
 from __future__ import annotations
@@ -75,17 +75,18 @@ def measure(text: str | None) -> tuple:
     word_chars = len(text) - sum(text.count(c) for c in " \t\n\v\f\r")
     n_symbols = len(SYMBOLS.findall(text))
     seen: set[bytes] = set()
-    n_dup, dup_bytes = 0, 0
+    plain = len(raw) == len(text)  # a byte a character
+    size = len if plain else lambda b: len(b.decode("utf-8", "surrogatepass"))
+    n_dup, dup_chars = 0, 0
     for line in raw.split(b"\n"):
         if line.split(None, 1):
             if line in seen:
                 n_dup += 1
-                dup_bytes += len(line)
+                dup_chars += size(line)
             seen.add(line)
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n_words)
-    lens = np.fromiter(map(len, words), np.int64, n_words)
-    total = max(1, int(lens.sum()))
+    lens = None
     n_repeat, shares = 0, dict.fromkeys(LIMITS, 0.0)
     if n_words:
         for n, h in rolled(ids, {3, *LIMITS}):
@@ -95,10 +96,11 @@ def measure(text: str | None) -> tuple:
                     break  # a repeated longer n-gram would hold a repeated 3-gram
                 n_repeat = int(spread(any_, n).sum())
             elif later.any():
-                shares[n] = float(lens[spread(later, n)].sum()) / total
+                lens = np.fromiter(map(size, words), np.int64, n_words) if lens is None else lens
+                shares[n] = float(lens[spread(later, n)].sum()) / word_chars
             else:
                 break
-    line_share = dup_bytes / max(1, len(raw))
+    line_share = dup_chars / max(1, len(text))
     failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT * n_words
     kept = not failed and line_share <= LINE_LIMIT and all(shares[n] <= most for n, most in LIMITS.items())
     return (n_words, word_chars, n_symbols, n_dup, n_repeat, failed, line_share, *shares.values(), kept)
@@ -113,4 +115,5 @@ def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             yield pd.DataFrame([measure(t) for t in b], columns=names)
 
-    return docs.withColumn("_m", measured(F.col(text))).select("*", "_m.*").drop("_m")
+    kept = [c for c in docs.columns if c == text or c not in names]
+    return docs.withColumn("_m", measured(F.col(text))).select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"_m.{c}").alias(c) for c in names if c != text])
