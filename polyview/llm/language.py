@@ -8,12 +8,13 @@ outputs are k(x, L) K(L, L)^(-1/2) W. As k(x, L) is the product of x's 0/1 row w
 the two matrix products associate: presence rows times (landmark rows K^(-1/2) W), which is
 multiplied once and then applied to all texts in batches.
 
-Training takes at most about ``per_lang`` texts of each language, by a hash of the id. Runs of white
+Training takes about ``per_lang`` texts of each language, by a hash of the id; rows of one id and language
+count as one, with the text that sorts first, so repeated rows don't enlarge the sample. Runs of white
 space count as one space and case is folded; digits and punctuation aren't part of any n-gram.
 
 Null texts and those without a letter are ``und`` with score 0, as all are where there is nothing to
 learn from. With one language learned, it is the answer for the rest. Null languages aren't learned from.
-Ties go to the language that sorts first; columns other than id, text and language are ignored.
+Ties go to the language that sorts first. identify() keeps all columns, but replaces those called lang_pred and score.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ UNKNOWN = "und"
 def grams(text: str | None, bins: int = BINS, lengths: tuple[int, ...] = LENGTHS) -> np.ndarray:
     """Numbers of the distinct n-grams of a text; none if it has no letter."""
     runs = LETTERS.findall(text.lower()) if text else []
+    if not "".join(runs).isalpha():  # the pattern also has numerals such as superscripts and fractions
+        runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
     if not runs:
         return np.empty(0, np.int64)
     code = np.frombuffer((" " + " ".join(runs) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -102,16 +105,19 @@ def train(docs: DataFrame, use: Column | None = None, per_lang: int = 400, doc_i
     """use: a condition on ``_id`` that says which rows may be learned from."""
     known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     known = known if use is None else known.where(use)
-    counts = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["_lang"]: r["n"] for r in known.select("_lang", "_id").distinct().groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [], **how)
     share = F.create_map(*[F.lit(x) for y, n in sorted(counts.items()) for x in (y, min(1.0, per_lang / n))])
 
+    bins = how.get("bins", BINS)
+
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["_id"].astype(str), "lang": b["_lang"], "g": [grams(x).astype(np.int32).tobytes() for x in b["_text"]]})
+            yield pd.DataFrame({"id": b["_id"].astype(str), "lang": b["_lang"], "g": [grams(x, bins).astype(np.int32).tobytes() for x in b["_text"]]})
 
-    got = known.where(hash_unit("_id", "_lang") < share[F.col("_lang")]).mapInPandas(numbers, "id string, lang string, g binary").toPandas()
+    sample = known.where(hash_unit("_id", "_lang") < share[F.col("_lang")]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    got = sample.mapInPandas(numbers, "id string, lang string, g binary").toPandas()
     got = got.sort_values(["id", "lang", "g"], kind="stable")
     return fit([np.frombuffer(g, np.int32).astype(np.int64) for g in got["g"]], got["lang"].tolist(), **how)
 
@@ -130,4 +136,5 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
                 scores.append(s)
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate([*scores, np.empty(0)]).astype(float)})
 
-    return docs.withColumn("_p", predicted(F.col(text))).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("_p", predicted(F.col(text))).select(*[F.col(f"`{c}`") for c in kept], "_p.lang_pred", "_p.score")
