@@ -5,12 +5,13 @@ holds. The pairwise part learns that an insult next to a mention of a group weig
 alone, which additive weights miss; it is computed in time linear in the number of terms as
 half of (sum v_i x_i)^2 - sum v_i^2 x_i^2.
 
-Fitting uses a sample of labelled rows bounded by ``per_class`` for each label, chosen by a hash of the
-id, so the driver holds at most about 2 * per_class sets of term numbers. Scoring is a map over all rows.
+Fitting uses a sample of labelled rows bounded by about ``per_class`` for each label, chosen by a hash of the
+id, so the driver holds at most about 2 * per_class sets of term numbers. Rows of one id count as one, with the text that
+sorts first, so repeated rows don't enlarge the sample. Scoring is a map over all rows.
 
-Null and empty texts have no terms and get sigmoid(w0). Labels other than 0 and 1, and null ids, aren't
-learned from. Without any usable label every score is 0. Repeated rows are scored alike; columns other
-than the id and the text are ignored.
+Null and empty texts have no terms and get sigmoid(w0). Labels other than 0 and 1, null ids, and ids with both labels aren't
+learned from. Without any usable label every score is below 1e-12, and with labels of one kind alone, all scores agree with it.
+Repeated rows are scored alike. score() keeps all columns, but replaces one that has the name of its result.
 """
 
 from __future__ import annotations
@@ -140,13 +141,13 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, use: Column, per_class: i
     The rows are those with the smallest hashes of their ids. The labels' sample is bounded by twice
     per_class (a label's share is set by its count), so it is broadcast to the texts."""
     marked = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
-    marked = marked.where(use).dropDuplicates(["_id"])
+    marked = marked.where(use).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
     counts = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], np.empty(0), 0.0
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, per_class / n))])
     sample = marked.where(hash_unit("_id") < share[F.col("_y")])
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = term_memo()
