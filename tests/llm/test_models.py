@@ -59,9 +59,9 @@ def test_pairs_carry_what_additive_weights_miss():
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     rows, y = make(3000)
-    model = toxicity.fit(rows, y, epochs=8)
+    model = toxicity.fit(rows, y)
     test, want = make(800)
-    flat = toxicity.FactorizationMachine(model.w0, model.place, model.w, np.zeros_like(model.v))
+    flat = toxicity.FactorizationMachine(model.w0, model.terms, model.w, np.zeros_like(model.v))
     assert loss(model, test, want) < loss(flat, test, want)
 
 
@@ -73,9 +73,41 @@ def test_margin_is_the_sum_over_all_pairs():
     assert m.margins([row, np.empty(0, int)]) == pytest.approx([brute, 0.3])
 
 
+def test_the_pairwise_part_decides_held_out_rows():
+    """On the labelled tables: under a tenth of the toxic rows missed, no more than one clean row in 500 flagged, and without the
+    pairwise part, which the linear one was fitted beside, most are missed."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pandas().set_index("doc_id")["text"]
+    memo, train, held = toxicity.term_memo(), ([], []), ([], [])
+    for r in pq.read_table(f"{sf}/labels.parquet", columns=["doc_id", "toxic"]).to_pylist():
+        part = held if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 else train
+        part[0].append(toxicity.terms(texts[r["doc_id"]], memo).astype(np.int64))
+        part[1].append(r["toxic"])
+    model, truth = toxicity.fit(train[0], np.array(train[1])), np.array(held[1])
+    missed = lambda m: np.mean(m.scores(held[0])[truth == 1] < 0.5)
+    assert missed(model) < 0.1 and np.mean(model.scores(held[0])[truth == 0] >= 0.5) <= 0.002
+    linear = toxicity.FactorizationMachine(model.w0, model.terms, model.w, np.zeros_like(model.v))
+    assert missed(linear) > missed(model) + 0.3
+
+
+def test_contradictory_labels_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "bad bad"), (1, "good"), (2, "good day"), (3, "bad day"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (3, 1), (4, 0), (None, 1), (5, 7)], "doc_id long, toxic int")
+    sample, prior = toxicity.labelled_terms(docs, labels, toxicity.F.lit(True), 100)
+    assert sample.count() == 3 and prior == pytest.approx(1 / 3)
+    one = toxicity.train(docs, labels.where("toxic = 1 and doc_id = 3"))
+    assert all(r["score"] > 0.5 for r in toxicity.score(docs, one).collect())
+    none = toxicity.train(docs, labels.limit(0))
+    assert all(r["score"] < 1e-12 for r in toxicity.score(docs, none).collect())
+
+
 def test_language(spark):
     rows = corpus(400)
-    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "", "bb"), (902, "123 !!!", "aa"), (903, "haus und", None), (903, "haus und", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "", "bb"), (902, "123 !!! \u00b2\u00bd", "aa"), (903, "haus und", None), (903, "haus und", None)], "doc_id long, text string, lang string")
     model = language.train(docs, per_lang=80)
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()]
     truth = {k: lang for k, _, lang in rows}
