@@ -64,7 +64,7 @@ class WordHashes(dict):
     """Places of words in ``hash`` (64 bits) and ``rank`` (classes of frequency, 0 for all that aren't among the frequent); starts
     anew beyond ``limit`` words."""
 
-    def __init__(self, frequent: tuple[np.ndarray, np.ndarray] | None = None, limit: int = 200_000):
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray] | None = None, limit: int = 100_000):
         super().__init__()
         self.limit = limit
         self.classes = {} if frequent is None else dict(zip(frequent[0].tolist(), frequent[1].tolist(), strict=True))
