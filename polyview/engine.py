@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.operators import explanation, generation, information, likelihood, mutation, prediction, structure
+from polyview.operators import explanation, frames, generation, information, likelihood, mutation, prediction, structure
 from polyview.plans import fit
 from polyview.plans import model as models
 from polyview.plans.model import Model
@@ -34,6 +34,20 @@ class Oracle:
     is_empty = property(lambda self: self.n_cols == 0 or self.n_rows == 0)
     index = property(lambda self: self.model.rows().orderBy("rix").select("row"))
 
+    def write_diagnostics(self, path: str) -> None:
+        """CSV with one row an iteration and state: state, iter, loglike, logprior, score."""
+        models.write_diagnostics(self.model, self.spark, path)
+
+    # tidy tables of what one would plot
+    def prediction_frame(self, target, given: dict | None = None, n_points: int = 1000) -> DataFrame:
+        return frames.prediction(self.model, self.spark, target, given, n_points)
+
+    def state_frame(self, state: int) -> DataFrame:
+        return frames.state(self.model, state)
+
+    def explanation_frame(self, target, given: dict, method: str = "ablative-err") -> DataFrame:
+        return frames.explanation(self.model, self.spark, target, given, method)
+
     def seed(self, seed: int) -> None:
         self._seed, self._calls = seed, 0
 
@@ -99,8 +113,9 @@ class Oracle:
     def pairwise_fn(self, fn: str, indices: list | None = None, **kwargs) -> DataFrame:
         """A, B and the function's value of all ordered pairs of columns, or of the named rows."""
         if fn == "rowsim":
-            names = indices or [r["row"] for r in self.index.collect()]
-            return self.rowsim(structure.all_pairs(names), **kwargs)
+            rows = self.index if indices is None else self.spark.createDataFrame([(n,) for n in self._names(list(indices))], "row string")
+            pairs = rows.select(F.col("row").alias("A")).crossJoin(rows.select(F.col("row").alias("B")))  # all pairs are what is asked for
+            return self.rowsim(pairs, **kwargs)
         names = [self.codebook[c].name for c in (indices or self.columns)]
         pairs = structure.all_pairs(names)
         return {"depprob": self.depprob, "mi": self.mi}[fn](pairs, **kwargs)
@@ -139,8 +154,45 @@ class Oracle:
             return float(likelihood.logp_values(self.model, js, [np.array([0 if v is None else v]) for v in x], [np.array([v is None]) for v in x], likelihood.resolved(self.model, given, js), self.model.chosen(states), scaled)[0])
         return likelihood.logp(self.model, values, [c for c in values.columns if c in self.columns], given, states, scaled)
 
-    def surprisal(self, col: str | int, states: list[int] | None = None, keep_missing: bool = False) -> DataFrame:
-        return likelihood.surprisal(self.model, col, states, keep_missing)
+    def surprisal(self, col: str | int, rows: list | str | int | None = None, values: list | None = None, states: list[int] | None = None, keep_missing: bool = False) -> DataFrame:
+        """Of the table's cells (all rows, or those named); with values, of one hypothetical value for each of the rows, or of several
+        values for one row (then without the row's name)."""
+        if rows is None and values is None:
+            return likelihood.surprisal(self.model, col, states, keep_missing)
+        if rows is None:
+            names = [r["row"] for r in self.model.rows().orderBy("rix").select("row").limit(len(values) + 1).collect()]  # one more tells that they differ
+        else:
+            names = self._names(rows if isinstance(rows, list | tuple) else [rows])
+        if not names:
+            raise ValueError("no rows were named")
+        if values is None:
+            keys = self.spark.createDataFrame([(k, n) for k, n in enumerate(names)], "_pos long, _row string")
+            out = likelihood.surprisal(self.model, col, states, keep_missing)
+            return out.join(keys, F.col("row") == F.col("_row")).orderBy("_pos").drop("_pos", "_row")
+        if len(names) > 1 and len(names) != len(values):
+            raise ValueError(f"{len(names)} rows and {len(values)} values")
+        c = self.codebook[col]
+        x = [likelihood.coded(self.model, self.codebook.index(col), v) for v in values]
+        kind = {"continuous": "double", "count": "long", "categorical": "int"}[c.ftype]
+        keys = self.spark.createDataFrame([(k, names[k if len(names) > 1 else 0], v) for k, v in enumerate(x)], f"_pos long, row string, value {kind}")
+        out = likelihood.surprisal_of(self.model, col, keys, states)
+        return out if len(names) > 1 else out.select("surprisal")
+
+    def _names(self, rows: list) -> list[str]:
+        """Row names of names and numbers."""
+        numbers = sorted({r for r in rows if isinstance(r, int)})
+        known = {}
+        if numbers:
+            n = self.n_rows if numbers[0] < 0 else 0
+            found = mutation._picked(self.model.rows(), "rix", "long", [(r, r % n if r < 0 else r) for r in numbers]).select("_pos", "row").collect()  # as long as the caller's list
+            known = {r["_pos"]: r["row"] for r in found}
+            if len(known) < len(numbers):
+                raise IndexError("a row is out of bounds")
+        return [known[r] if isinstance(r, int) else r for r in rows]
+
+    def conditional_entropy_pw(self, cols: list, given: list, n: int = 1000) -> DataFrame:
+        pairs = [(self.codebook[a].name, self.codebook[b].name) for a in cols for b in given]
+        return self.spark.createDataFrame([(a, b, information.conditional_entropy(self.model, a, [b], n)) for a, b in pairs], "A string, B string, conditional_entropy double")
 
     def inconsistency(self, values: DataFrame, given: dict | None = None) -> DataFrame:
         return likelihood.inconsistency(self.model, values, [c for c in values.columns if c in self.columns], given)
@@ -206,11 +258,22 @@ class Engine(Oracle):
     def load(cls, spark: SparkSession, path: str) -> Engine:
         return cls(spark, models.load(spark, path))
 
-    def update(self, n_iters: int, transitions="default", kernel: str = "slice", timeout: float | None = None, checkpoint: int | None = None, save_path: str | None = None, handler: fit.Handler | None = None) -> None:
+    @classmethod
+    def empty(cls, spark: SparkSession, name: str = "my_table", n_states: int = 8, seed: int = 0) -> Engine:
+        """Without rows and columns; insert() brings both, with the columns' metadata."""
+        data = spark.createDataFrame([], "rix long, row string, z array<int>")
+        return cls(spark, Model(Codebook.empty(name), [models.State([]) for _ in range(n_states)], data), seed)
+
+    def cell_gibbs(self, row: str | int, col: str | int) -> None:
+        """One column's view and one row's category in it anew, in every state; nothing happens to an empty engine."""
+        if not self.is_empty:
+            self.model = fit.cell_gibbs(self.model, row, col, self._next())
+
+    def update(self, n_iters: int, transitions="default", kernel: str = "slice", timeout: float | None = None, checkpoint: int | None = None, save_path: str | None = None, handler: fit.Handler | list | None = None, column_kernel: str = "gibbs") -> None:
         save: Callable | None = None if save_path is None else lambda sweep, m: models.save(m, self.spark, f"{save_path}/checkpoint-{sweep}")
-        handler = handler or fit.Handler()
-        handler.timeout = timeout if timeout is not None else handler.timeout
-        self.model = fit.update(self.model, n_iters, transitions, kernel, self._next(), handler, save, checkpoint)
+        handlers = handler if isinstance(handler, list) else [handler or fit.Handler()]
+        handlers = [*handlers, fit.Handler(timeout)] if timeout is not None else handlers
+        self.model = fit.update(self.model, n_iters, transitions, kernel, self._next(), handlers, save, checkpoint, column_kernel)
 
     def flatten_columns(self) -> None:
         self.model = fit.flatten(self.model, self._next())

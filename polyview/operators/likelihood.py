@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from polyview.functions import dist
 from polyview.functions.expressions import ln_density, logsumexp
-from polyview.plans.model import Model, View
+from polyview.plans.model import Model, View, decode_column
 
 Given = dict
 
@@ -123,6 +123,15 @@ def surprisal(model: Model, col: str | int, states: list[int] | None = None, kee
     return out.select("row", x.alias(c.name), (F.lit(float(np.log(len(terms)))) - logsumexp(terms)).alias("surprisal"))
 
 
+def surprisal_of(model: Model, col: str | int, rows: DataFrame, states: list[int] | None = None) -> DataFrame:
+    """rows has ``_pos``, ``row`` and ``value`` (coded): in their order row, the column and the surprisal of the value, as if it stood in the row."""
+    own = model.rows().join(rows.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"))
+    j = model.codebook.index(col)
+    c, x = model.codebook.columns[j], F.col("value")
+    terms = [ln_density(c.ftype, model.states[s].views[v].params[j], F.get("z", model.slot(s, v)), x) for s in model.chosen(states) for v in [model.states[s].view_of(j)]]
+    return own.select("_pos", "row", decode_column(c, x).alias(c.name), (F.lit(float(np.log(len(terms)))) - logsumexp(terms)).alias("surprisal")).orderBy("_pos").drop("_pos")
+
+
 def inconsistency(model: Model, values: DataFrame, cols: list, given: Given | None = None) -> DataFrame:
     """Log likelihood of the values together over that of each alone; with conditions, over that without them."""
     if len(cols) == 1 and not given:

@@ -16,14 +16,20 @@ from pyspark.sql import functions as F
 
 from polyview.functions import dist
 from polyview.operators.likelihood import ln_cell
+from polyview.plans import fit
 from polyview.plans.model import Model, State, View, category_sizes, decode_column, encode_column, numbered
 from polyview.sources.codebook import Column, infer
 from polyview.sources.readers import ROW, with_row_names
 
 
+#: Distinct values of a categorical column, which the driver holds.
+MOST_VALUES = 100_000
+
+
 @dataclass(frozen=True)
 class WriteMode:
-    """insert: unrestricted, deny_rows, deny_columns, deny_both; overwrite: allow, deny, missing_only; extend: whether unknown
+    """insert: unrestricted, deny_rows, deny_columns, deny_both; overwrite: allow, missing_only (cells of present rows and columns
+    may be filled, not changed) or deny (they may not be touched, so values go to new rows and new columns alone); extend: whether unknown
     categories join a column's support; append: None, ("window",) or ("trench", most rows, at row)."""
 
     insert: str = "unrestricted"
@@ -43,7 +49,9 @@ def extended(model: Model, patch: DataFrame) -> Model:
     for c in out.codebook.columns:
         if c.ftype == "categorical" and c.name in patch.columns:
             before = len(c.values)
-            new = [r[0] for r in patch.select(F.col(f"`{c.name}`")).distinct().collect() if r[0] is not None]
+            new = [r[0] for r in patch.select(F.col(f"`{c.name}`")).distinct().limit(MOST_VALUES + 1).collect() if r[0] is not None]
+            if len(new) > MOST_VALUES:
+                raise ValueError(f"column {c.name} has more than {MOST_VALUES} distinct values; that is no categorical column")
             for value in sorted(new):
                 c.extend(value)
             if len(c.values) > before:
@@ -117,14 +125,17 @@ def insert(model: Model, patch: DataFrame, mode: WriteMode | None = None, new_co
         model = extended(model, patch)
     coded = patch.select(F.col(ROW).alias("_row"), *[encode_column(model.codebook[c], F.col(f"`{c}`")).alias(f"_n_{c}") for c in cols])
     seen = coded.join(own, F.col("_row") == F.col("row"), "left")
-    conflict = sum((F.when(F.col(f"_n_{c}").isNotNull() & F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
-    n_new, n_over, n_blank = seen.agg(F.sum(F.col("row").isNull().cast("int")), F.sum(F.when(F.col("row").isNotNull(), conflict).otherwise(0)), F.sum(F.when(F.coalesce(*[F.col(f"_n_{c}").cast("string") for c in cols]).isNull(), 1).otherwise(0)) if cols else F.lit(0)).first()
+    known = [c for c in cols if c not in unknown]
+    set_ = lambda empty: F.when(F.col("row").isNotNull(), sum((F.when(F.col(f"_n_{c}").isNotNull() & (F.col(f"`{c}`").isNull() == F.lit(empty)), 1).otherwise(0) for c in known), F.lit(0))).otherwise(0)
+    n_new, n_over, n_fill, n_blank = seen.agg(F.sum(F.col("row").isNull().cast("int")), F.sum(set_(False)), F.sum(set_(True)), F.sum(F.when(F.coalesce(*[F.col(f"_n_{c}").cast("string") for c in cols]).isNull(), 1).otherwise(0)) if cols else F.lit(0)).first()
     if n_blank:
         raise ValueError("a row of the patch has no values")
     if n_new and mode.insert in ("deny_rows", "deny_both"):
         raise ValueError(f"{n_new} new rows are denied")
     if n_over and mode.overwrite != "allow":
         raise ValueError(f"{n_over} present cells would be overwritten")
+    if n_fill and mode.overwrite == "deny":
+        raise ValueError(f"{n_fill} empty cells of present rows would be filled")
     merged = own.join(coded, F.col("row") == F.col("_row"), "left").select("rix", "row", *[F.coalesce(F.col(f"_n_{c}"), F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in model.codebook.column_names], "z")
     if n_new:
         top = own.agg(F.coalesce(F.max("rix"), F.lit(-1))).first()[0] + 1
@@ -133,6 +144,8 @@ def insert(model: Model, patch: DataFrame, mode: WriteMode | None = None, new_co
         fresh = fresh.select((F.col("rix") + top).alias("rix"), F.col("_row").alias("row"), *[(F.col(f"_n_{c}") if c in cols else F.lit(None)).cast(kinds[c]).alias(c) for c in model.codebook.column_names])
         merged = merged.unionByName(assigned(model, fresh, seed))
     out = recounted(model, merged)
+    if unknown:
+        out = fit.place_columns(out, unknown, seed)
     if mode.append and n_new:
         out = trimmed(out, mode.append, int(n_new))
     return out, {"new_rows": int(n_new or 0), "overwritten": int(n_over or 0), "new_columns": unknown}
@@ -211,15 +224,19 @@ def remove_column(model: Model, col: str | int) -> Model:
 
 
 def with_columns(model: Model, columns: list[Column], seed: int = 0) -> Model:
-    """New, empty columns, each in a random view of every state, with components that know nothing yet."""
+    """New, empty columns, each in a random view of every state, with components that know nothing yet; a state without views gets one,
+    with one category. insert() assigns them by their values."""
     rng = np.random.default_rng([seed, 3])
     book, states = copy.deepcopy(model.codebook), copy.deepcopy(model.states)
-    data = model.data
+    data, grown = model.data, False
     kinds = {"continuous": "double", "count": "long", "categorical": "int"}
     for c in columns:
         book.append(c)
         j = len(book.columns) - 1
         for s in states:
+            if not s.views:
+                s.views.append(View([], np.ones(1), np.zeros(1)))
+                grown = True
             view = s.views[rng.integers(len(s.views))]
             k = len(view.weights)
             view.cols.append(j)
@@ -230,6 +247,8 @@ def with_columns(model: Model, columns: list[Column], seed: int = 0) -> Model:
             data = data.withColumn(c.name, F.lit(None).cast(kinds[c.ftype]))
     if data is not None:
         data = data.select("rix", "row", *[f"`{n}`" for n in book.column_names], "z")
+        if grown:
+            data = data.withColumn("z", F.array(*[F.lit(0)] * len(states)))
     return Model(book, states, data)
 
 
@@ -244,6 +263,13 @@ def append_columns(model: Model, cols: DataFrame, metadata: list[Column] | None
     return insert(model, cols, WriteMode("deny_rows"), metadata, seed)[0]
 
 
+def _picked(data: DataFrame, by: str, kind: str, wanted: list[tuple]) -> DataFrame:
+    """Rows by name or by number, with ``_pos``, their place in the caller's list: an equi-join, in which the planner
+    broadcasts a list that is small enough."""
+    keys = data.sparkSession.createDataFrame(wanted, f"_pos long, _key {kind}")
+    return data.join(keys, F.col(by) == F.col("_key")).drop("_key")
+
+
 def select(model: Model, rows: object = None, cols: object = None) -> DataFrame:
     """Decoded cells with the row name as ``index``, in table order. rows and cols: a number, a name, a slice, or a list of
     numbers and names; all without."""
@@ -265,9 +291,7 @@ def select(model: Model, rows: object = None, cols: object = None) -> DataFrame:
     elif rows is not None:
         wanted = list(rows) if isinstance(rows, list | tuple) else [rows]
         n = data.count() if any(isinstance(r, int) and r < 0 for r in wanted) else 0
-        spark = data.sparkSession
-        keys = F.broadcast(spark.createDataFrame([(k, r if isinstance(r, str) else None, None if isinstance(r, str) else r % n if r < 0 else r) for k, r in enumerate(wanted)], "_pos long, _name string, _rix long"))  # as long as the caller's list
-        data = data.join(keys, (F.col("row") == F.col("_name")) | (F.col("rix") == F.col("_rix")))
+        data = _picked(data, "row", "string", [(k, r) for k, r in enumerate(wanted) if isinstance(r, str)]).unionByName(_picked(data, "rix", "long", [(k, r % n if r < 0 else r) for k, r in enumerate(wanted) if not isinstance(r, str)]))
         order = [F.col("_pos")]
     else:
         order = [F.col("rix")]

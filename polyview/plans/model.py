@@ -9,6 +9,7 @@ operators are therefore map-only over ``data``: no join of assignments, no shuff
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyview.functions import dist
+from polyview.plans.tables import written
 from polyview.sources.codebook import Codebook, Column
 from polyview.sources.readers import ROW
 
@@ -115,21 +117,34 @@ def encode(df: DataFrame, book: Codebook, order: list[str] | None = None) -> Dat
     return numbered(out, [f"_o{k}" for k in range(len(order or []))]).select("rix", "row", *[f"`{c}`" for c in book.column_names])
 
 
+def _fixed_parts(df: DataFrame) -> bool:
+    """Whether each run of df has the same rows in the same partitions, whatever columns are read: nothing is shuffled, and
+    the rows come from files or from the driver."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    leaves = re.findall(r"(\w*Scan\w*|InMemory\w*|Range|Union|Coalesce)\b", plan)
+    return "Exchange" not in plan and bool(leaves) and all(x in ("FileScan", "LocalTableScan", "Range") for x in leaves)
+
+
 def numbered(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """rix = 0, 1, ... without a single-task window: rows are numbered within partitions, whose sizes are added up."""
+    """rix = 0, 1, ... without a single-task window: rows are numbered within partitions, whose sizes are added up.
+
+    Partitions that a shuffle made may differ between two runs (adaptive execution merges them by their size, which depends on
+    the columns that are read), so such rows are written once with their places, and both the sizes and the rows are read
+    from there. Rows of a partition without a size are an error, not dropped."""
     spark = df.sparkSession
     own = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     own = own.withColumn("_m", F.monotonically_increasing_id())
+    if order or not _fixed_parts(df):
+        own = written(own, "numbered")
     own = own.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
     sizes = {r[0]: r[1] for r in own.groupBy("_p").agg(F.count("*")).collect()}  # one row a partition
     at, base = 0, []
     for p in sorted(sizes):
         base.append((p, at))
         at += sizes[p]
-    if not base:
-        return own.withColumn("rix", F.lit(0).cast("long")).drop("_m", "_p", "_i")
     starts = F.broadcast(spark.createDataFrame(base, "_q long, _b long"))
-    return own.join(starts, F.col("_p") == F.col("_q")).withColumn("rix", F.col("_b") + F.col("_i")).drop("_m", "_p", "_i", "_q", "_b")
+    start = F.when(F.col("_b").isNull(), F.raise_error(F.lit("a partition has no number")).cast("long")).otherwise(F.col("_b"))
+    return own.join(starts, F.col("_p") == F.col("_q"), "left").withColumn("rix", start + F.col("_i")).drop("_m", "_p", "_i", "_q", "_b")
 
 
 def ln_factorial(x: SparkColumn) -> SparkColumn:
@@ -244,3 +259,29 @@ def load(spark: SparkSession, path: str) -> Model:
         states.append(State(views, s["process"], {int(j): p for j, p in s["priors"].items()}, [tuple(d) for d in s["diagnostics"]]))
     data = spark.read.parquet(f"{path}/data") if config["has_data"] else None
     return Model(Codebook.parse(parts["codebook"]), states, data)
+
+
+_DIAGNOSTICS = "state long, iter long, loglike double, logprior double, score double"
+
+
+def write_diagnostics(model: Model, spark: SparkSession, path: str) -> None:
+    """As CSV with a header."""
+    rows = [(k, i, float(a), float(b), float(a + b)) for k, s in enumerate(model.states) for i, (a, b) in enumerate(s.diagnostics)]
+    spark.createDataFrame(rows, _DIAGNOSTICS).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def read_diagnostics(spark: SparkSession, path: str) -> list[list[tuple[float, float]]]:
+    """(loglike, logprior) by state and iteration."""
+    out: list[list[tuple[float, float]]] = []
+    for r in spark.read.csv(path, header=True, schema=_DIAGNOSTICS).orderBy("state", "iter").collect():  # one row an iteration
+        out += [[] for _ in range(r["state"] + 1 - len(out))]
+        out[r["state"]].append((r["loglike"], r["logprior"]))
+    return out
+
+
+def save_state(model: Model, spark: SparkSession, path: str, state: int) -> None:
+    """One state as a model of its own, with its rows."""
+    k = model.chosen([state])[0]
+    s = model.states[k]
+    data = None if model.data is None else model.data.withColumn("z", F.array(*[F.get("z", model.slot(k, v)) for v in range(len(s.views))]))
+    save(Model(model.codebook, [s], data), spark, path)

@@ -152,7 +152,7 @@ ORACLES: dict[str, str] = {
     "impute_categorical": _with("docs", "l AS (SELECT row, f.code, f.lnp AS l FROM zr z JOIN vm ON vm.s = z.s AND vm.v = z.v AND col = 2 JOIN f2 f ON f.s = z.s AND f.v = z.v AND f.k = z.k WHERE z.c2 IS NULL)") + " SELECT row, arg_max(code, p - 1e-12 * code)::INTEGER AS toxic FROM (SELECT row, code, sum(exp(l)) AS p FROM l GROUP BY row, code) q GROUP BY row",
     "inconsistency": _with("orders", _logp((2,)), _logp((2,), given="1-URGENT").replace("wt AS", "wt2 AS").replace("FROM wt ", "FROM wt2 ").replace("wt.*", "wt2.*").replace("used", "used2").replace("cell", "cell2").replace("byv", "byv2").replace("bys", "bys2").replace("lp AS", "lp2 AS")) + " SELECT lp.row, round(lp2.logp / lp.logp, 6) AS inconsistency FROM lp JOIN lp2 ON lp2.row = lp.row",
     "held_out_neglogp": _HELD + " SELECT 0 AS step, '' AS removed, round(f0, 6) AS neglogp FROM n UNION ALL SELECT 1, CASE WHEN f1 <= f2 THEN 'o_orderstatus' ELSE 'o_orderpriority' END, round(least(f1, f2), 6) FROM n UNION ALL SELECT 2, CASE WHEN f1 <= f2 THEN 'o_orderpriority' ELSE 'o_orderstatus' END, round(f3, 6) FROM n",
-    "attributable_neglogp": _HELD + " SELECT round((least(f1, f2) / f0 / 2 + CASE WHEN f3 > f0 THEN 0 ELSE (f0 - f3) / f0 / 2 END) / 2, 6) AS share FROM n",
+    "attributable_neglogp": _HELD + " SELECT round(CASE WHEN f3 > f0 THEN 0 ELSE (least(f1, f2) / f0 / 2 + (f0 - f3) / f0 / 2) / 3 END, 6) AS share FROM n",
     "upsert_edit_cell": _EDIT.format(x="CASE WHEN o_orderkey = 7 THEN 1.5::DOUBLE ELSE o_totalprice END"),
     "append_rows": "SELECT o_orderkey::VARCHAR AS row, o_orderstatus, o_orderpriority, o_totalprice FROM orders UNION ALL SELECT * FROM (VALUES ('new-1', 'F', '1-URGENT', 10.0::DOUBLE), ('new-2', 'O', 'NEW-PRIORITY', NULL)) q",
     "append_columns": "SELECT o_orderkey::VARCHAR AS row, (o_orderkey % 3)::INTEGER AS third FROM orders",

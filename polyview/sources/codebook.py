@@ -14,6 +14,8 @@ from pyspark.sql.types import BooleanType, ByteType, DoubleType, FloatType, Inte
 from polyview.sources.readers import ROW
 
 CUTOFF = 20
+#: Distinct values of a text column, which the driver holds.
+MOST_VALUES = 100_000
 
 
 @dataclass
@@ -126,6 +128,26 @@ class Codebook:
     def rename(self, name: str) -> None:
         self.name = name
 
+    def rename_column(self, col: str | int, name: str) -> None:
+        if name != self[col].name and name in self.column_names:
+            raise ValueError(f"column {name!r} is there already")
+        self.columns[self.index(col)] = self[col].renamed(name)
+
+    def merged(self, other: Codebook) -> Codebook:
+        """With another's columns behind its own; a name in both is an error."""
+        out = dataclasses.replace(self, columns=list(self.columns))
+        for c in other.columns:
+            out.append(c)
+        return out
+
+    def yaml(self) -> str:
+        """The JSON form, which is YAML too, where no YAML library is installed."""
+        try:
+            import yaml
+        except ImportError:
+            return self.json()
+        return yaml.safe_dump(dataclasses.asdict(self), sort_keys=False)
+
     def value_map(self, col: str | int) -> list:
         return list(self[col].values)
 
@@ -164,13 +186,23 @@ def infer(df: DataFrame, name: str = "my_table", cutoff: int = CUTOFF, no_hypers
     aggs = []
     for k, c in enumerate(names):
         x = F.col(f"`{c}`")
+        x = F.when(~F.isnan(x), x) if isinstance(kinds[c], (FloatType, DoubleType)) else x  # frames from pandas have NaN for missing
         aggs += [F.min(x).alias(f"lo{k}"), F.max(x).alias(f"hi{k}"), F.count(x).alias(f"n{k}"), F.count("*").alias(f"all{k}")]
         if not isinstance(kinds[c], (StringType, BooleanType)):
             v = x.cast("double")
             aggs += [F.avg(v).alias(f"mean{k}"), F.var_pop(v).alias(f"var{k}"), F.avg(F.log(v + 0.1)).alias(f"ln{k}")]
         elif isinstance(kinds[c], StringType):
-            aggs.append(F.array_sort(F.collect_set(x)).alias(f"set{k}"))
+            aggs.append(F.approx_count_distinct(x).alias(f"many{k}"))
     got = df.agg(*aggs).first() if aggs else None
+    texts = [(k, c) for k, c in enumerate(names) if isinstance(kinds[c], StringType)]
+    for k, c in texts:
+        if got[f"many{k}"] > MOST_VALUES:
+            raise ValueError(f"column {c} has some {got[f'many{k}']} distinct values; that is no categorical column")
+    sets: dict[int, list] = {k: [] for k, _ in texts}
+    if texts:  # distinct before they meet; their number was bounded above
+        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").alias("v")) for k, c in texts]))
+        for r in df.select(pairs.alias("p")).select("p.*").where("v is not null").distinct().orderBy("k", "v").collect():
+            sets[r["k"]].append(r["v"])
     book = Codebook(name)
     for k, c in enumerate(names):
         lo, hi, n, every = (got[f"{x}{k}"] for x in ("lo", "hi", "n", "all"))
@@ -180,7 +212,7 @@ def infer(df: DataFrame, name: str = "my_table", cutoff: int = CUTOFF, no_hypers
             raise ValueError(f"column {c} has a single value")
         kind = kinds[c]
         if isinstance(kind, (StringType, BooleanType)) or isinstance(kind, _WHOLE) and 0 <= lo and hi < cutoff:
-            values = list(got[f"set{k}"]) if isinstance(kind, StringType) else [False, True] if isinstance(kind, BooleanType) else list(range(int(hi) + 1))
+            values = sets[k] if isinstance(kind, StringType) else [False, True] if isinstance(kind, BooleanType) else list(range(int(hi) + 1))
             own = Column.categorical(c, values)
             own.value_kind = "string" if isinstance(kind, StringType) else own.value_kind
             own.hyper, own.prior = {"shape": 1.0, "scale": 1.0}, {"alpha": 0.5} if no_hypers else None
