@@ -19,6 +19,7 @@ SCRATCH = "/tmp/checkpoints"
 #: Ids that are broadcast at most, some 16 MB.
 MOST_IDS = 1 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _TO_LOWER = bytes.maketrans(_UPPER, _LOWER)
@@ -69,12 +70,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, parts: int | None = None, rows: int | None = None) -> DataFrame:
     """df written as a table in the shared folder and read from there: lineage ends, and a lost
-    executor costs no recomputation. ``drop_stored`` deletes it."""
+    executor costs no recomputation. ``drop_stored`` deletes it. rows: at most so many go to Python at a time while
+    this is written, which bounds what rows with long texts need on both sides."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    if rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    finally:
+        if rows:
+            spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

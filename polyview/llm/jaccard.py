@@ -48,6 +48,8 @@ FREQUENT, WORDS, FILTER_BITS = 1 << 17, 1 << 16, 1 << 27
 #: The boundary is chosen up to this size, at which a set has over 10 ** 20 subsets; this share of tokens is counted to measure lists.
 MOST_LIGHT, SAMPLE = 200, 1 << 12
 SKETCH = 128
+#: Rows that a worker gets at a time.
+BATCH = 2000
 _BLOCK = 1 << 15
 _SKETCH = [f"k{k}" for k in range(SKETCH // 64)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -145,13 +147,6 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Batches of so many rows at most, which bounds what a worker holds at once."""
-    for b in batches:
-        for at in range(0, len(b), rows):
-            yield b.slice(at, rows)
-
-
 def _survey(docs: DataFrame, n: int) -> DataFrame:
     """One pass: kind 0, tokens frequent within a batch with their counts there; 1, small sizes; 2, the hash sample; 3, words
     frequent within a batch."""
@@ -159,7 +154,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         none = np.empty(0, np.uint64)
-        for b in _slices(batches):
+        for b in batches:
             sets = [hashed(lowered_words(t), n, known) for t in b.column("text").to_pylist()]
             token, count = np.unique(np.concatenate([none, *(s[0] for s in sets)]), return_counts=True)
             word, many = np.unique(np.concatenate([none, *(s[2] for s in sets)]), return_counts=True)
@@ -197,7 +192,7 @@ def _sets(docs: DataFrame, n: int, percent: int, light: int, frequent: tuple, sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes(sent.value[1])
         lists = lambda rows, dtype, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype), *rows]).astype(dtype), kind))
-        for b in _slices(batches):
+        for b in batches:
             size, same, keys, parts, part_sizes, sketch = [], [], [], [], [], []
             for t in b.column("text").to_pylist():
                 h, r, _ = hashed(lowered_words(t), n, known)
@@ -304,7 +299,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     """Of pairs (a, b) those whose texts link; b repeats more, and its set is kept while it does."""
     shared: list = []
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    texts = stored(_having(docs, nodes, shared), "texts")
+    texts = stored(_having(docs, nodes, shared), "texts", rows=BATCH)
     _released(docs.sparkSession, shared)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
 
@@ -323,7 +318,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
             take = pa.array(out, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], ["a", "b"])
 
-    links = stored(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
+    links = stored(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links", rows=BATCH // 4)
     drop_stored(nodes, texts)
     return links
 
@@ -332,7 +327,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     """doc_id, n_shingles, component_id (smallest id in the document's class) for each row of docs."""
     docs = _texts(docs, doc_id, text)
     spark, shared = docs.sparkSession, []
-    survey = stored(_survey(docs, n), "survey")
+    survey = stored(_survey(docs, n), "survey", rows=BATCH)
     frequent = _frequent(survey, 0, FREQUENT), _frequent(survey, 3, WORDS)
     sizes = {r["key"]: r["n"] for r in survey.where("kind = 1").collect()}  # MOST_LIGHT rows at most
     # Rare tokens head the lists; frequent ones are last and don't count.
@@ -340,12 +335,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     light = boundary(sizes, float(met or 1.0), percent)
     drop_stored(survey)
 
-    sets = stored(_sets(docs, n, percent, light, frequent, shared), "sets")
+    sets = stored(_sets(docs, n, percent, light, frequent, shared), "sets", rows=BATCH)
     _released(spark, shared)
     heads = stored(sets.where("size > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node")), "heads")
     own = _passed(sets.where("size > 0 and doc_id is not null"), _shared_filter(sets), shared).where("size(keys) > 0 or size(parts) > 0")
     own = own.join(heads.select("node", F.col("same").alias("_same")), (F.col("doc_id") == F.col("node")) & (F.col("same") == F.col("_same"))).dropDuplicates(["doc_id", "same"])
-    own = stored(own.select("node", "size", "keys", "places", "parts", "part_sizes", "sketch"), "own")
+    own = stored(own.select("node", "size", "keys", "places", "parts", "part_sizes", "sketch"), "own", rows=BATCH)
     _released(spark, shared)
 
     # Heavy: list entries, of sets that share enough with others; reach: the most that a set can have in common with another.
