@@ -167,3 +167,24 @@ ORACLES["variability_all"] = (
     + " SELECT 'o_totalprice', round((sum(w * (sigma * sigma + mu * mu)) / 3 - (sum(w * mu) / 3) * (sum(w * mu) / 3)) / 1e9, 5) FROM f2 JOIN w USING (s, v, k)) q UNION ALL SELECT * FROM (" + _with("part")
     + " SELECT 'p_size', round(sum(w * (rate + rate * rate)) / 3 - (sum(w * rate) / 3) * (sum(w * rate) / 3), 5) FROM f2 JOIN w USING (s, v, k)) q"
 )
+
+_SIZES = "xs AS (SELECT unnest(range(0, 200)) AS x)"
+_POISSON = "exp(x * ln(rate) - rate - lgamma(x + 1))"
+ORACLES |= {
+    "scan_csv_orders": ORACLES["scan_encode_orders"],
+    "scan_jsonl_part": _with("part") + " SELECT row, x0.code::INTEGER AS p_brand, x1.code::INTEGER AS p_type, c2::BIGINT AS p_size, c3 AS p_retailprice FROM t JOIN x0 ON c0 = x0.x JOIN x1 ON c1 = x1.x",
+    "save_and_load": ORACLES["surprisal"],
+    "surprisal_values": _with(
+        "orders", "l AS (SELECT row, " + _GAUSS.replace("c2", "150000") + " AS l FROM zr z JOIN vm ON vm.s = z.s AND vm.v = z.v AND col = 2 JOIN f2 f ON f.s = z.s AND f.v = z.v AND f.k = z.k)",
+    ) + " SELECT row, round(ln(count(*)) - (max(m) + ln(sum(exp(l - m)))), 6) AS surprisal FROM (SELECT *, max(l) OVER (PARTITION BY row) AS m FROM l) q GROUP BY row",
+    "impute_count": _with(
+        "part", _SIZES, "kz AS (SELECT row, max(k) FILTER (s = 0) AS a, max(k) FILTER (s = 1) AS b, max(k) FILTER (s = 2) AS c FROM zr JOIN vm USING (s, v) WHERE col = 2 GROUP BY row)",
+        f"best AS (SELECT a, b, c, arg_max(x, p - 1e-14 * x) AS p_size FROM (SELECT q.a, q.b, q.c, x, sum({_POISSON}) AS p FROM (SELECT DISTINCT a, b, c FROM kz) q CROSS JOIN xs JOIN f2 ON (f2.s = 0 AND f2.k = q.a) OR (f2.s = 1 AND f2.k = q.b) OR (f2.s = 2 AND f2.k = q.c) GROUP BY q.a, q.b, q.c, x) r GROUP BY a, b, c)",
+    ) + " SELECT row, p_size::BIGINT AS p_size FROM kz JOIN best USING (a, b, c)",
+    "predict_count": _with("part", _SIZES, f"ps AS (SELECT s, x, sum(w * {_POISSON}) AS p FROM f2 JOIN w USING (s, v, k) CROSS JOIN xs GROUP BY s, x)", "pm AS (SELECT x, avg(p) AS p FROM ps GROUP BY x)")
+    + " SELECT (SELECT arg_max(x, p) FROM pm)::BIGINT AS value, round(sum(0.5::DOUBLE * abs(ps.p - pm.p)) / 3 * 3 / 2, 5) AS uncertainty FROM ps JOIN pm USING (x)",
+    "held_out_inconsistency": _HELD + " SELECT 0 AS step, '' AS removed, round(f0 / f3, 8) AS inconsistency FROM n UNION ALL SELECT 1, CASE WHEN f1 / f3 <= f2 / f3 THEN 'o_orderstatus' ELSE 'o_orderpriority' END, round(least(f1 / f3, f2 / f3), 8) FROM n UNION ALL SELECT 2, CASE WHEN f1 / f3 <= f2 / f3 THEN 'o_orderpriority' ELSE 'o_orderstatus' END, round(f3 / f3, 8) FROM n",
+    "attributable_inconsistency": _HELD + " SELECT round(CASE WHEN 1 > f0 / f3 THEN 0 ELSE (least(f1, f2) / f0 / 2 + (f0 - f3) / f0 / 2) / 3 END, 6) AS share FROM n",
+    "held_out_uncertainty": _PREDICT.replace("CROSS JOIN x0 g LEFT JOIN", "CROSS JOIN (SELECT x FROM x0 WHERE x = 'F' UNION ALL SELECT NULL) g LEFT JOIN").replace("JOIN pm ON pm.given = ps.given AND", "JOIN pm ON pm.given IS NOT DISTINCT FROM ps.given AND")
+    + " SELECT CASE WHEN given IS NULL THEN 1 ELSE 0 END AS step, CASE WHEN given IS NULL THEN 'o_orderstatus' ELSE '' END AS removed, round(avg(d) * 3 / 2, 6) AS uncertainty FROM tv GROUP BY given",
+}

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from polyview.operators import explanation, generation, information, likelihood, mutation, prediction, structure
 from polyview.plans import fit
-from polyview.plans.model import Model, encode, from_assignments
+from polyview.plans.model import Model, encode, from_assignments, load, save
+from polyview.plans.tables import new_path
 from polyview.sources.codebook import Codebook, Column, infer
-from polyview.sources.readers import ROW
+from polyview.sources.readers import ROW, read_table, with_row_names
 
 #: Number of categories and offset of each fixture state.
 STATES = ((3, 1), (4, 2), (5, 0))
@@ -81,6 +82,29 @@ def scan_encode_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.rows().select("row", "o_orderstatus", "o_orderpriority", "o_totalprice")
 
 
+def _through(spark: SparkSession, df: DataFrame, ending: str) -> DataFrame:
+    """df written in a file format and read by the engine's reader."""
+    path = f"{new_path(spark, 'file')}.{ending}"
+    (df.write.option("header", True).csv if ending == "csv" else df.write.json)(path)
+    return read_table(spark, path)
+
+
+def scan_csv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_row_names(_through(spark, source(spark, sf_dir, "orders").drop("key").withColumnRenamed(ROW, "ID"), "csv"))
+    return encode(df, infer(df)).select("row", "o_orderstatus", "o_orderpriority", "o_totalprice")
+
+
+def scan_jsonl_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_row_names(_through(spark, source(spark, sf_dir, "part").drop("key").withColumnRenamed(ROW, "ID"), "jsonl"))
+    return encode(df, infer(df)).select("row", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+def save_and_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "model")
+    save(fixture(spark, sf_dir), spark, path)
+    return rounded(likelihood.surprisal(load(spark, path), "o_totalprice").select("row", "surprisal"))
+
+
 def index_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation.select(fixture(spark, sf_dir), ["1", "7", "32"], ["o_orderpriority", "o_totalprice"])
 
@@ -216,6 +240,13 @@ def surprisal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(likelihood.surprisal(fixture(spark, sf_dir), "o_totalprice").select("row", "surprisal"))
 
 
+def surprisal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one hypothetical price in every row."""
+    m = fixture(spark, sf_dir)
+    rows = m.rows().select(F.col("rix").alias("_pos"), "row", F.lit(150000.0).alias("value"))
+    return rounded(likelihood.surprisal_of(m, "o_totalprice", rows).select("row", "surprisal"))
+
+
 def surprisal_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(likelihood.surprisal(fixture(spark, sf_dir), "o_orderpriority").select("row", "surprisal"))
 
@@ -275,6 +306,11 @@ def impute_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prediction.impute(m, "toxic", with_uncertainty=False)
 
 
+def impute_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixture(spark, sf_dir, "part")
+    return prediction.impute(m, "p_size", m.rows().select("row"), with_uncertainty=False)
+
+
 def impute_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fixture(spark, sf_dir)
     return rounded(prediction.impute(m, "o_totalprice", m.rows().select("row")), 2)
@@ -299,6 +335,28 @@ def attributable_neglogp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(spark, [(explanation.attributable_neglogp(m, {"o_totalprice": 150000.0}, {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})[0],)], "share double")
 
 
+def held_out_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixture(spark, sf_dir)
+    curve = explanation.held_out_inconsistency(m, {"o_totalprice": 150000.0}, {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+    return one(spark, [(k, ",".join(gone), value) for k, (gone, value, _) in enumerate(curve)], "step int, removed string, inconsistency double", 8)
+
+
+def attributable_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixture(spark, sf_dir)
+    return one(spark, [(explanation.attributable_inconsistency(m, {"o_totalprice": 150000.0}, {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})[0],)], "share double")
+
+
+def held_out_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixture(spark, sf_dir)
+    curve = explanation.held_out_uncertainty(m, "o_orderpriority", {"o_orderstatus": "F"})
+    return one(spark, [(k, ",".join(gone), value) for k, (gone, value, _) in enumerate(curve)], "step int, removed string, uncertainty double")
+
+
+def explain_ablative_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fixture(spark, sf_dir)
+    return one(spark, list(zip(*explanation.explain_prediction(m, "o_totalprice", {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}, "ablative-dist"), strict=True)), "col string, importance double")
+
+
 def explain_ablative(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fixture(spark, sf_dir)
     return one(spark, list(zip(*explanation.explain_prediction(m, "o_totalprice", {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}), strict=True)), "col string, importance double")
@@ -363,6 +421,7 @@ def _fitted(spark: SparkSession, sf_dir: str) -> list[tuple]:
 QUERIES = {
     f.__name__: f
     for f in (
+        scan_csv_orders, scan_jsonl_part, save_and_load, surprisal_values, impute_count, held_out_inconsistency, attributable_inconsistency, held_out_uncertainty, explain_ablative_dist,
         flagship, codebook_infer_part, scan_encode_orders, index_select, summarize_continuous, summarize_categorical, summarize_count, missing_cells, row_assign_list, col_assign_list, feature_params,
         suffstats_by_category, depprob_pw, rowsim_view_weighted, rowsim_col_weighted, rowsim_wrt, novelty, novelty_wrt, entropy_single_cat, entropy_cat_cat, mi_kinds, conditional_entropy, info_prop,
         predictor_search, logp_single, logp_joint, logp_given, logp_states, logp_scaled, surprisal, surprisal_cat, surprisal_count, surprisal_missing, inconsistency, predict_categorical, predict_count,

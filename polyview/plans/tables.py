@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH = "/tmp/checkpoints"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """Below ``spark.checkpoint.dir`` (SCRATCH where that is unset, as in tests)."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or SCRATCH).rstrip("/")
+    return f"{base}/polyview-model-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as Parquet below ``spark.checkpoint.dir`` (SCRATCH where that is unset), and read from there."""
+    """df as Parquet in the shared folder, and read from there."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or SCRATCH).rstrip("/")
-    path = f"{base}/polyview-model-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
