@@ -19,6 +19,8 @@ For scoring, the tokens of a batch go to the partition of their pair, those of t
 What is broadcast is bounded by ``common`` and HOT. Counts cover all training texts.
 Pairs in contexts that aren't common are in their contexts' partitions. After each sweep those send the tables of rare words to
 the words' partitions, and get the words' root seating back; when scoring, such tokens of rare words take both ways in turn.
+A pair that was seen once has one table in every sweep, so such pairs are told to the words' partitions once for all. The number of partitions
+follows the training tokens, and there is a message for two partitions only where they have something to say, so never more messages than pairs.
 
 Null and empty texts have the end token alone. Without training texts (N = 0) the model is the base: one unknown word.
 Rows are scored each for itself, so repeated ids give repeated rows; null ids stay null. Only id and text are read.
@@ -38,13 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.llm.common import Memo, drop_stored, lowered_words, mixed, shuffle_parts, stored
+from polyview.llm.common import Memo, drop_stored, lowered_words, mixed, new_path, shuffle_parts, stored
 
 RARE = np.uint64(1 << 63)
 #: A word can't hold white space, so this is no word.
 END = xxhash.xxh3_64_intdigest(b"\n")
 CONTEXT_BITS, HOT, EXACT = 20, 1 << 17, 128
-STEP_TOKENS, PART_TOKENS, BURN_IN, SAMPLES = 800_000, 2_000_000, 1, 2
+STEP_TOKENS, PART_TOKENS, LEAST_PARTS, BURN_IN, SAMPLES = 800_000, 2_000_000, 8, 1, 2
+#: Marks the rows of pairs that hold what is the same in every sweep.
+FIXED = -1
+#: Entries of the totals that are added up in one task.
+BLOCK = 4096
 _COLUMNS = ("key", "n", "word", "at", "m")
 _NONE = np.empty(0, np.uint32)
 _BLOB = "p int, batch long, key binary, n binary, word binary, at binary, m binary"
@@ -144,7 +150,7 @@ def _vocabulary(docs: DataFrame, common: int) -> Words:
     drop_stored(table)
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
     tokens = int(r[0] or 0)
-    return Words(top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order], tokens, int(r[1]), discount(r[2], r[3]), max(shuffle_parts(docs.sparkSession), -(-tokens // PART_TOKENS)))
+    return Words(top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order], tokens, int(r[1]), discount(r[2], r[3]), max(LEAST_PARTS, -(-tokens // PART_TOKENS)))
 
 
 def discount(once: float, twice: float) -> float:
@@ -275,29 +281,65 @@ def common_tables(columns: list[np.ndarray], state: State, rng: np.random.Genera
 Said = list[tuple[int, bytes, bytes, bytes, bytes]]
 
 
-def _parted(t: pa.Table) -> tuple[list[np.ndarray], dict[int, Said]]:
-    """A partition's pairs, and by sweep what other partitions say to it: their number, key, n, word and m."""
+def _parted(t: pa.Table) -> tuple[list[np.ndarray], dict[int, Said], tuple[np.ndarray, np.ndarray]]:
+    """A partition's pairs; by sweep what other partitions say to it: their number, key, n, word and m; and rare words in pairs of rare
+    contexts that were seen once, with the number of these."""
     said: dict[int, Said] = {}
     batch = t.column("batch").to_numpy()
-    for k in np.flatnonzero(batch):
+    for k in np.flatnonzero(batch > 0):
         tag = int(batch[k]) - 1
         said.setdefault(tag >> 32, []).append((tag & 0xFFFFFFFF, *(t.column(c)[int(k)].as_py() for c in ("key", "n", "word", "m"))))
-    return _all(t.filter(pa.array(batch == 0))), said
+    return _all(t.filter(pa.array(batch == 0))), said, _fixed(t.filter(pa.array(batch == FIXED)))
 
 
-def _far(said: Said) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fixed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    names = [opened(x, np.uint64, True) for x in t.column("key").to_pylist()]
+    names, which = np.unique(np.concatenate([np.empty(0, np.uint64), *names]), return_inverse=True)
+    return names, np.bincount(which, np.concatenate([_NONE, *(opened(x, np.uint32) for x in t.column("n").to_pylist())]), len(names)).astype(np.int64)
+
+
+def _once(pairs: DataFrame, words: Words) -> DataFrame:
+    """A row for each partition of rare words: those in pairs of rare contexts that were seen once, and how often they are."""
+    parts = words.parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(len(b)):
+                _, n, word, _, _ = _all(b.slice(k, 1))
+                names, many = np.unique(word[(word >= RARE) & (n == 1)], return_counts=True)
+                rows = [(q, FIXED, squeezed(w, True), squeezed(m.astype(np.uint32)), None, None, None) for q, ((w, m),) in _dealt(parts, (part_of(names, parts), (names, many)))]
+                for at in range(0, len(rows), 64):
+                    yield _batch(rows[at : at + 64])
+
+    def merged(t: pa.Table) -> pa.Table:
+        names, many = _fixed(t)
+        return pa.Table.from_batches([_batch([(t.column("p")[0].as_py(), FIXED, squeezed(names, True), squeezed(many.astype(np.uint32)), None, None, None)])])
+
+    return pairs.where(F.col("p") >= parts).mapInArrow(run, _BLOB).groupBy("p").applyInArrow(merged, _BLOB)
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, bucketed by p, so that grouping by p needs no shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark, "pairs")
+    name = f"polyview_pairs_{path[-12:]}"
+    df.write.bucketBy(shuffle_parts(spark), "p").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _far(said: Said, fixed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rare words that follow rare contexts: their tables and how often they do."""
     names = [opened(key, np.uint64, True) for _, key, *_ in said]
-    names, which = np.unique(np.concatenate([np.empty(0, np.uint64), *names]), return_inverse=True)
-    tables, n = (np.concatenate([_NONE, *(opened(x[k], np.uint32) for x in said)]) for k in (4, 2))
+    names, which = np.unique(np.concatenate([np.empty(0, np.uint64), *names, fixed[0]]), return_inverse=True)
+    tables, n = (np.concatenate([_NONE, *(opened(x[k], np.uint32) for x in said), fixed[1]]) for k in (4, 2))
     return names, np.bincount(which, tables, len(names)), np.bincount(which, n, len(names)).astype(np.int64)
 
 
-def sample(columns: list[np.ndarray], state: State | None, rng: np.random.Generator, said: Said) -> dict[str, np.ndarray]:
+def sample(columns: list[np.ndarray], state: State | None, rng: np.random.Generator, said: Said, fixed: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
     """New seating of a partition's pairs in common contexts, and root seating of its rare words, whose tables in rare
     contexts are those of the sweep before. Without a state, one table a pair."""
     key, n, word, at, m = columns
-    far_names, far_tables, far_n = _far(said)
+    far_names, far_tables, far_n = _far(said, fixed)
     names = np.unique(np.concatenate([word, far_names]))
     which, at = np.searchsorted(names, word), at.astype(np.int64)
     more, seen = np.zeros(len(names)), np.bincount(which, m, len(names)).astype(np.int64)
@@ -325,16 +367,19 @@ def far_sample(columns: list[np.ndarray], state: State | None, rng: np.random.Ge
     contexts, which = np.unique(key, return_inverse=True)
     t = np.ones(len(word))
     rare = word >= RARE
-    if state is not None:
-        tables = np.concatenate([_NONE, *(opened(x[4], np.uint32) for x in said if x[0] == p)])
+    more = np.flatnonzero(n > 1)  # the others have one table each
+    if state is not None and len(more):
+        tables = np.bincount(which, minlength=len(contexts)).astype(float)
+        tables[np.unique(which[more])] = np.concatenate([_NONE, *(opened(x[4], np.uint32) for x in said if x[0] == p)])
         names = np.concatenate([np.empty(0, np.uint64), *(opened(x[1], np.uint64, True) for x in said if x[0] != p)])
         held = np.concatenate([np.empty(0), *(opened(x[3], float) for x in said if x[0] != p)])
         order = np.argsort(names)
-        parent = np.empty(len(word))
-        parent[~rare] = state.p_common[word[~rare].astype(np.int64)]
-        parent[rare] = state.root(held[order][np.searchsorted(names[order], word[rare])], 0.0)
-        t = seated(n, (state.theta + state.d * tables[which]) * parent, state.d, rng)
-    return {"contexts": contexts, "which": which, "rare": rare, "t": t, "tables": np.bincount(which, t, len(contexts)), "customers": np.bincount(which, n, len(contexts))}
+        parent, own = np.empty(len(more)), word[more]
+        far = rare[more]
+        parent[~far] = state.p_common[own[~far].astype(np.int64)]
+        parent[far] = state.root(held[order][np.searchsorted(names[order], own[far])], 0.0)
+        t[more] = seated(n[more], (state.theta + state.d * tables[which[more]]) * parent, state.d, rng)
+    return {"contexts": contexts, "which": which, "rare": rare, "more": more, "t": t, "tables": np.bincount(which, t, len(contexts)), "customers": np.bincount(which, n, len(contexts))}
 
 
 def _rng(seed: int, sweep: int, p: int) -> np.random.Generator:
@@ -348,16 +393,17 @@ def _sums(pairs: DataFrame, said: DataFrame | None, words: Words, state: State |
     shared = pairs.sparkSession.sparkContext.broadcast((words.contexts, len(words.hashes), words.parts, state))
     tag = (max(0, sweep) << 32) + 1
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
         contexts, common, parts, now = shared.value
         total = np.zeros(2 * contexts + common + 4)
+        t = left if right is None else pa.concat_tables([left, right.cast(left.schema)])
         p = t.column("p")[0].as_py()
-        columns, heard = _parted(t)
+        columns, heard, fixed = _parted(t)
         heard = next(iter(heard.values()), [])
         key, n, word, at, m = columns
         rows = []
         if p < parts:
-            got = sample(columns, now, _rng(seed, sweep, p), heard)
+            got = sample(columns, now, _rng(seed, sweep, p), heard, fixed)
             total[:contexts] += np.bincount(got["context"], got["t"], contexts) + np.bincount(got["at"], got["tables"], contexts)
             total[contexts : 2 * contexts] += np.bincount(got["context"], n, contexts) + np.bincount(got["at"], m, contexts)
             total[2 * contexts : -4] += np.bincount(got["code"], got["t"], common)
@@ -370,28 +416,32 @@ def _sums(pairs: DataFrame, said: DataFrame | None, words: Words, state: State |
             rare = got["rare"]
             total[2 * contexts : -4] += np.bincount(word[~rare].astype(np.int64), got["t"][~rare], common)
             total[-2:] += [(n == 1).sum(), (n == 2).sum()]
-            rows.append((p, tag + p, None, None, None, None, squeezed(got["tables"].astype(np.uint32))))
-            names, which = np.unique(word[rare], return_inverse=True)
-            tables, seen = (np.bincount(which, x[rare], len(names)).astype(np.uint32) for x in (got["t"], n))
+            more = got["more"]
+            rows.append((p, tag + p, None, None, None, None, squeezed(got["tables"][np.unique(got["which"][more])].astype(np.uint32))))
+            said_ = more[rare[more]]
+            names, which = np.unique(word[said_], return_inverse=True)
+            tables, seen = (np.bincount(which, x[said_], len(names)).astype(np.uint32) for x in (got["t"], n))
             for q, ((w, x, y),) in _dealt(parts, (part_of(names, parts), (names, tables, seen))):
                 rows.append((q, tag + p, squeezed(w, True), squeezed(y), None, None, squeezed(x)))
-        rows.append((-1, 0, squeezed(total), None, None, None, None))
+        for k in range(0, len(total), BLOCK):
+            if total[k : k + BLOCK].any():
+                rows.append((-1 - k // BLOCK, 0, squeezed(total[k : k + BLOCK]), None, None, None, None))
         return pa.Table.from_batches([_batch(rows)])
 
     words_d0 = words.discount
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for raw in b.column("key").to_pylist():
-                x = opened(raw, float)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
-
-    out = stored((pairs if said is None else pairs.unionByName(said)).groupBy("p").applyInArrow(run, _BLOB), "sweep")
-    got = out.where("p = -1").select("key").repartition(4).mapInArrow(added, "s binary").collect()
-    total = np.sum([np.frombuffer(bytes(r[0])) for r in got], axis=0) if got else np.zeros(2 * words.contexts + len(words.hashes) + 4)
+    def added(t: pa.Table) -> pa.Table:
+        """A block's total over the partitions."""
+        total = sum(opened(raw, float) for raw in t.column("key").to_pylist())
+        return pa.table({"k": pa.array([-1 - t.column("p")[0].as_py()], pa.int32()), "s": pa.array([total.tobytes()], pa.binary())})
+
+    made = pairs.groupBy("p").applyInArrow(lambda t: run(t), _BLOB) if said is None else pairs.groupBy("p").cogroup(said.groupBy("p")).applyInArrow(lambda left, right: run(left, right), _BLOB)
+    out = stored(made, "sweep")
+    shared.destroy()
+    total = np.zeros(2 * words.contexts + len(words.hashes) + 4)
+    for r in out.where("p < 0").groupBy("p").applyInArrow(added, "k int, s binary").collect():  # as long as total
+        own = np.frombuffer(bytes(r["s"]))
+        total[r["k"] * BLOCK : r["k"] * BLOCK + len(own)] = own
     kept = out.where("p >= 0")
     kept._stored_at = out._stored_at
     return total, kept
@@ -424,13 +474,13 @@ class Model:
             out = out + after.pair(columns[1], t, context, after.p_common[code])
         return out / len(self.sweeps)
 
-    def pair_probabilities(self, columns: list[np.ndarray], p: int, said: dict[int, Said]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pair_probabilities(self, columns: list[np.ndarray], p: int, said: dict[int, Said], fixed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Averages for a partition's common pairs and rare pairs; distinct rare words, their root probabilities by
         sample, and how often each was seen."""
         _, n, _, _, m = columns
         one, two, roots = 0.0, 0.0, []
         for sweep, before, after in self.sweeps:
-            s = sample(columns, before, _rng(self.seed, sweep, p), said.get(sweep - 1, []))
+            s = sample(columns, before, _rng(self.seed, sweep, p), said.get(sweep - 1, []), fixed)
             root = after.root(s["customers"], s["under"])
             roots.append(root)
             one = one + after.pair(n, s["t"], s["context"], after.p_common[s["code"]])
@@ -488,7 +538,7 @@ def _hot(pairs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
                     one = shared.value.common_probabilities(columns, p)
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0][hot].view(np.int64)), pa.array(one[hot])], ["key", "x"])
 
-    got = pairs.mapInArrow(run, "key long, x double").toPandas().sort_values("key")
+    got = pairs.where("batch = 0").mapInArrow(run, "key long, x double").toPandas().sort_values("key")
     return got["key"].to_numpy(np.int64).view(np.uint64), got["x"].to_numpy(float)
 
 
@@ -499,6 +549,11 @@ def _log_counts(c: np.ndarray) -> np.ndarray:
 _PARTS = "p int, batch long, head boolean, id binary, key binary, n binary, word binary, at binary, m binary, x binary, y binary, z binary"
 
 
+def _home(batch: int) -> int:
+    """A group of its own for each batch of texts, for what waits for its sums."""
+    return -1 - ((batch >> 32) * 2654435761 + (batch & 0xFFFFFFFF)) % (1 << 30)
+
+
 def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id_type: str) -> DataFrame:
     words = model.words
     hot_keys, hot_values = _hot(pairs, model)
@@ -529,7 +584,7 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
                 ids = b.column("doc_id").slice(first, len(lengths))
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as w:
                     w.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
-                yield batch_of([(-1 - batch % 1009, batch, True, sink.getvalue().to_pybytes(), squeezed(lengths.astype(np.uint64)), None, None, None, squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None)])
+                yield batch_of([(_home(batch), batch, True, sink.getvalue().to_pybytes(), squeezed(lengths.astype(np.uint64)), None, None, None, squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None)])
                 order = np.argsort(key[~hot], kind="stable")
                 key, of = key[~hot][order], of[~hot][order]
                 rows, parts = [], own.words.parts
@@ -552,8 +607,8 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
         p = left.column("p")[0].as_py()
         if p < 0 or p >= own.words.parts:
             return left
-        columns, said_ = _parted(right)
-        one, two, names_, roots, total = own.pair_probabilities(columns, p, said_)
+        columns, said_, fixed = _parted(right)
+        one, two, names_, roots, total = own.pair_probabilities(columns, p, said_, fixed)
         pkey, _, pword, pat, _ = columns
         join = (np.searchsorted(names_, pword).astype(np.uint64) << np.uint64(CONTEXT_BITS)) | pat.astype(np.uint64)
         unknown = np.array([after.new_mass() * after.unknown / (after.theta0 + after.root_customers) for _, _, after in own.sweeps])
@@ -588,7 +643,7 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
                 out.append((own.words.parts + q, batch, False, None, squeezed(u, True), squeezed(d), squeezed(w), None, None, squeezed(np.concatenate(r)), None, None))
             c, (rare, back) = np.concatenate([c, c2]), np.unique(np.concatenate([doc, doc2]), return_inverse=True)
             logs, n_known = np.bincount(back, _log_counts(c), len(rare)), np.bincount(back, c > 0, len(rare))
-            out.append((-1 - batch % 1009, batch, False, None, None, squeezed(who), None, squeezed(rare), squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None))
+            out.append((_home(batch), batch, False, None, None, squeezed(who), None, squeezed(rare), squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None))
         return pa.Table.from_batches([batch_of(out)])
 
     def looked_up_far(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -600,11 +655,11 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
         for key, n, word, x in zip(*(left.column(c).to_pylist() for c in ("key", "n", "word", "x")), strict=True):
             tokens.append((opened(key, np.uint64, True), opened(word, np.uint32 if x is None else np.uint64).astype(np.uint64), None if x is None else opened(x, float).reshape(len(own.sweeps), -1)))
             docs_.append(opened(n, np.uint32))
-        columns, said_ = _parted(right)
+        columns, said_, _ = _parted(right)
         out = []
         for batch, doc, x in zip(left.column("batch").to_pylist(), docs_, own.far_scores(columns, left.column("p")[0].as_py(), said_, tokens), strict=True):
             who, back = np.unique(doc, return_inverse=True)
-            out.append((-1 - batch % 1009, batch, False, None, None, squeezed(who), None, squeezed(_NONE), squeezed(_NONE), squeezed(np.bincount(back, np.log10(x), len(who))), squeezed(np.empty(0)), None))
+            out.append((_home(batch), batch, False, None, None, squeezed(who), None, squeezed(_NONE), squeezed(_NONE), squeezed(np.bincount(back, np.log10(x), len(who))), squeezed(np.empty(0)), None))
         return pa.Table.from_batches([batch_of(out)])
 
     constant = np.log10(words.tokens + words.kinds + 1)
@@ -640,7 +695,9 @@ def score(docs: DataFrame, train: Column | None = None, common: int = 1 << 16, t
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     learned = (docs if train is None else docs.where(train)).select("text")
     words = _vocabulary(learned, min(common, (1 << CONTEXT_BITS) - 2))
-    pairs = stored(_pair_counts(learned, words), "pairs")
+    counts = stored(_pair_counts(learned, words), "counts")
+    pairs = _bucketed(counts.unionByName(_once(counts, words)))
+    drop_stored(counts)
     rng = np.random.default_rng([seed, 1])
     # rare contexts' partitions speak first, so that all rare words are known where they are seated
     _, first = _sums(pairs.where(F.col("p") >= words.parts), None, words, None, seed, -1)
