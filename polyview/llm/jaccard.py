@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.llm.common import drop_stored, lowered_words, mixed, stored
+from polyview.llm.common import drop_stored, fresh_worker, lowered_words, mixed, stored
 from polyview.llm.components import components
 
 SHARED, PER = 3, 64
@@ -152,6 +152,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
     frequent within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         known = WordHashes()
         none = np.empty(0, np.uint64)
         for b in batches:
@@ -190,6 +191,7 @@ def _sets(docs: DataFrame, n: int, percent: int, light: int, frequent: tuple, sh
         return h[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         known = WordHashes(sent.value[1])
         lists = lambda rows, dtype, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype), *rows]).astype(dtype), kind))
         for b in batches:
@@ -304,6 +306,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         last, own = None, set()
         for x in batches:
             out = []

@@ -19,6 +19,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from polyview.llm.common import KEPT
+
 #: Characters that regular expressions may count as white space or that normalisation may drop; surrogates can't be encoded.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿\ud800-\udfff]")
 #: Bytes of UTF-8 that none of them has, or that have to be looked at.
@@ -155,17 +157,25 @@ class Encoder:
             raw, ends = np.array(one.ids, self.dtype).tobytes(), ends.tolist()
             known.update((p, raw[a:b]) for p, a, b in zip(part, ends[:-1], ends[1:], strict=True))
 
-    def in_steps(self, texts: list[str | None], chars: int = 4_000_000) -> Iterable[bytes]:
+    def by_step(self, texts: list[str | None], chars: int = 4_000_000) -> Iterable[list[bytes]]:
         """encode() over stretches of about so many characters, which bounds what a step holds."""
         at, size = 0, 0
         for k, t in enumerate(texts):
             size += len(t or "")
             if size >= chars or k == len(texts) - 1:
-                yield from self.encode(texts[at : k + 1])
+                yield self.encode(texts[at : k + 1])
                 at, size = k + 1, 0
 
+    def in_steps(self, texts: list[str | None], chars: int = 4_000_000) -> Iterable[bytes]:
+        """The same, one text at a time."""
+        for step in self.by_step(texts, chars):
+            yield from step
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, keeps_spaces: bool, dtype: str = "<u4", plain: bool = False) -> Encoder:
     """One for each worker process, so what it remembers outlasts a task."""
     return Encoder(path, keeps_spaces, dtype, plain=plain)
+
+
+KEPT.append(encoder.cache_clear)
