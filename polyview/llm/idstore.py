@@ -71,23 +71,33 @@ class Tree:
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream."""
+    return next(iter(all_cuts(ids, np.array([len(ids)]))), [])
+
+
+def all_cuts(ids: np.ndarray, lengths: np.ndarray) -> Iterator[list[int]]:
+    """Ends of the chunks of each of several id streams that stand one after another, counted from the stream's start. The rolling
+    hash runs over all of them at once; windows that reach over a border end within LEAST of it and cut nothing."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    one = mixed(ids.astype(np.uint64) + np.uint64(1))
-    h = one[: n - WINDOW + 1].copy()
-    for k in range(1, WINDOW):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + one[k : n - WINDOW + 1 + k]
-    ends = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
-    out, at = [], 0
-    for e in [*ends.tolist(), n]:
-        while e - at > MOST:
-            at += MOST
-            out.append(at)
-        if e - at >= LEAST or e == n and e > at:
-            at = e
-            out.append(at)
-    return out
+    ends = np.empty(0, np.int64)
+    if n >= WINDOW:
+        one = mixed(ids.astype(np.uint64) + np.uint64(1))
+        h = one[: n - WINDOW + 1].copy()
+        for k in range(1, WINDOW):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + one[k : n - WINDOW + 1 + k]
+        ends = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
+    stop = np.cumsum(lengths)
+    start = stop - lengths
+    lo, hi = np.searchsorted(ends, start + LEAST), np.searchsorted(ends, stop)
+    for first, n, a, b in zip(start.tolist(), lengths.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        out, at = [], 0
+        for e in [*(ends[a:b] - first).tolist(), n] if a < b else [n]:
+            while e - at > MOST:
+                at += MOST
+                out.append(at)
+            if e - at >= LEAST or e == n and e > at:
+                at = e
+                out.append(at)
+        yield out
 
 
 def leaf(doc_id: object, n_tokens: int, root: bytes) -> bytes:
@@ -110,25 +120,25 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         tool = encoder(tokenizer, True, f"<u{width}")
         end, seen = np.array([end_id], f"<u{width}").tobytes(), set()
         for b in batches:
-            of, recipes, chunks = [], [], []
-            for i, raw in enumerate(tool.in_steps(b.column("text").to_pylist())):
-                raw += end
-                keys, at = [], 0
-                for e in cuts(np.frombuffer(raw, f"<u{width}")):
-                    own = raw[at * width : e * width]
-                    at = e
-                    keys.append(digest(own))
-                    if keys[-1] not in seen:
-                        if len(seen) > 300_000:
-                            seen.clear()
-                        seen.add(keys[-1])
-                        chunks.append((keys[-1], own))
-                of.append(i)
-                recipes.append((at, b"".join(keys), merkle(keys)))
-            take = pa.array(of, pa.int64())
+            recipes, chunks = [], []
+            for raws in tool.by_step(b.column("text").to_pylist()):
+                raws = [raw + end for raw in raws]
+                ids = np.frombuffer(b"".join(raws), f"<u{width}")
+                for raw, ends in zip(raws, all_cuts(ids, np.array([len(raw) // width for raw in raws], np.int64)), strict=True):
+                    keys, at = [], 0
+                    for e in ends:
+                        own = raw[at * width : e * width]
+                        at = e
+                        keys.append(digest(own))
+                        if keys[-1] not in seen:
+                            if len(seen) > 300_000:
+                                seen.clear()
+                            seen.add(keys[-1])
+                            chunks.append((keys[-1], own))
+                    recipes.append((at, b"".join(keys), merkle(keys)))
             none = lambda n, t: pa.nulls(n, t)
-            n = len(of)
-            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * n), b.column("bucket").take(take), b.column("doc_id").take(take), none(n, pa.int64()), none(n, pa.int64()), pa.array([r[0] for r in recipes], pa.int64()), pa.array([r[1] for r in recipes], pa.binary()), pa.array([r[2] for r in recipes], pa.binary()), none(n, pa.binary()), none(n, pa.binary())], NAMES)
+            n = len(recipes)
+            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * n), b.column("bucket"), b.column("doc_id"), none(n, pa.int64()), none(n, pa.int64()), pa.array([r[0] for r in recipes], pa.int64()), pa.array([r[1] for r in recipes], pa.binary()), pa.array([r[2] for r in recipes], pa.binary()), none(n, pa.binary()), none(n, pa.binary())], NAMES)
             for k in range(0, len(chunks), 2000):
                 part = chunks[k : k + 2000]
                 n = len(part)
