@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.llm.common import LETTERS, Memo, drop_stored, hash_unit, stored
+from polyview.llm.common import LETTERS, Memo, drop_stored, fresh_worker, hash_unit, stored
 
 DIM = 1 << 20
 PREFIXES = (3, 4, 5, 6, 8)
@@ -174,6 +174,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, use: Column, per_class: i
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh_worker()
         memo = term_memo()
         for b in batches:
             yield pd.DataFrame({"y": b["_y"].astype(float), "t": [terms(x, memo) for x in b["_text"]]})
@@ -188,6 +189,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fresh_worker()
         memo = shared.value.memo()
         for b in batches:
             parts = [sigmoid(shared.value.by_row([terms(t, memo) for t in b.iloc[k : k + 500]])) for k in range(0, len(b), 500)]
