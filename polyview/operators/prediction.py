@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyview.functions import dist
@@ -123,14 +123,15 @@ def impute(model: Model, col: str | int, rows: DataFrame | None = None, with_unc
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, tuple] = {}
         for b in batches:
-            got = []
-            for z in b["z"]:
-                key = tuple(int(z[slot]) for slot, _ in views)
+            if not len(b):
+                continue
+            sets, of = np.unique(np.stack(b["z"].to_list())[:, [slot for slot, _ in views]], axis=0, return_inverse=True)
+            for key in map(tuple, sets.tolist()):
                 if key not in known:
                     mixes = [(np.ones(1), {n: x[k : k + 1] for n, x in p.items()}) for k, (_, p) in zip(key, views, strict=True)]
-                    known[key] = mode(c.ftype, mixes), uncertainty(c.ftype, mixes)
-                got.append(known[key])
-            yield pd.DataFrame({"row": b["row"], "x": [float(x) for x, _ in got], "uncertainty": [u for _, u in got]})
+                    known[key] = float(mode(c.ftype, mixes)), uncertainty(c.ftype, mixes)
+            got = np.array([known[key] for key in map(tuple, sets.tolist())])[of.ravel()]
+            yield pd.DataFrame({"row": b["row"], "x": got[:, 0], "uncertainty": got[:, 1]})
 
     out = own.select("row", "z").mapInPandas(run, "row string, x double, uncertainty double")
     kind = {"continuous": "double", "count": "long"}.get(c.ftype, "int")
@@ -172,17 +173,38 @@ def feature_error(model: Model, col: str | int) -> tuple[float, float]:
     return float(2 * area), float((np.abs(gap) * np.linspace(0, 1, bins)).mean() / area) if area else 0.0
 
 
+#: Up to so many values, their exact median is left to one task.
+FEW = 1_000_000
+
+
+def median(own: DataFrame, x: Column, n: int) -> float | None:
+    """The exact median of n present values. Of many, an approximate stretch around it is counted and sorted alone, and widened
+    until it holds the middle."""
+    if n <= FEW:
+        return own.agg(F.percentile(x, 0.5)).first()[0]
+    for margin in (0.001, 0.01, 0.1, 0.5):
+        lo, hi = own.agg(F.percentile_approx(x, [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], 10_000)).first()[0]
+        below, within = own.agg(F.count_if(x < lo), F.count_if(x.between(lo, hi))).first()
+        at, take = (n - 1) // 2 - below, 2 - n % 2
+        if 0 <= at and at + take <= within:
+            return float(np.mean([r[0] for r in own.where(x.between(lo, hi)).select(x.alias("x")).orderBy("x").offset(at).limit(take).collect()]))
+    return own.agg(F.percentile(x, 0.5)).first()[0]
+
+
 def summarize(model: Model, col: str | int) -> dict:
     """Count of present cells and, by type, extremes, mean, median, variance, all most frequent values."""
     c = model.codebook[col]
     x = F.col(f"`{c.name}`")
     own = model.rows().where(x.isNotNull())
     if c.ftype == "continuous":
-        return own.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.var_pop(x).alias("variance")).first().asDict()
+        out = own.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance")).first().asDict()
+        return out | {"median": median(own, x, out["n"])}
     counts = own.groupBy(x.alias("x")).count()
     top = counts.join(F.broadcast(counts.agg(F.max("count").alias("_m"))), F.col("count") == F.col("_m"))  # one row
     modes = sorted(r["x"] for r in top.collect())
-    out = own.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), *([F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median")] if c.ftype == "count" else [])).first().asDict()
+    out = own.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), *([F.avg(x).alias("mean")] if c.ftype == "count" else [])).first().asDict()
+    if c.ftype == "count":
+        out["median"] = median(own, x, out["n"])
     if c.ftype == "categorical":
         out["min"], out["max"], modes = c.values[out["min"]], c.values[out["max"]], [c.values[m] for m in modes]
     return out | {"mode": modes}

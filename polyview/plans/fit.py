@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column as Column_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,6 +178,12 @@ def _keep(s: dict, keep: np.ndarray) -> dict:
     return {n: x[keep] for n, x in s.items()}
 
 
+def _by_weights(w: np.ndarray, u: Column_) -> Column_:
+    """The category that a number in [0, 1) falls into."""
+    inside = F.array_position(F.transform(F.array(*[F.lit(float(x)) for x in np.cumsum(w)]), lambda x: x > u), True) - 1
+    return F.when(inside >= 0, inside).otherwise(len(w) - 1).cast("int")
+
+
 def _gibbs(scores: np.ndarray, rng: np.random.Generator) -> int:
     return int((scores + rng.gumbel(size=len(scores))).argmax())
 
@@ -320,8 +327,9 @@ class Chains:
         if "rows" in transitions:
             new, sizes = self.moved(data, kernel, candidates, frozen)
         else:
-            extra = [F.coalesce(F.array_position(F.transform(F.array(*[F.lit(float(x)) for x in np.cumsum(w)]), lambda x, u=F.rand(self.seed + 31 * self.sweep + k): x > u), True) - 1, F.lit(len(w) - 1)).cast("int") for k, w in enumerate(candidates)]
-            new, sizes = data.withColumn("z", F.concat("z", F.array(*extra)) if extra else F.col("z")), [len(v.weights) for s in states for v in s.views] + [len(w) for w in candidates]
+            drawn = data.select("*", *[F.rand(self.seed + 31 * self.sweep + k).alias(f"_v{k}") for k in range(len(candidates))])
+            new = drawn.withColumn("z", F.concat("z", F.array(*[_by_weights(w, F.col(f"_v{k}")) for k, w in enumerate(candidates)]))).select(*[f"`{c}`" for c in data.columns]) if candidates else data
+            sizes = [len(v.weights) for s in states for v in s.views] + [len(w) for w in candidates]
         new = written(new, "rows")
         stats = suffstats(new, book, sizes)
         counts = category_sizes(new, sizes)
@@ -526,9 +534,8 @@ def cell_gibbs(model: Model, row: str | int, col: str | int, seed: int = 0) -> M
             s.priors.setdefault(i, draw_prior(c, chains.rng))
     proposed = [draw_process(book.view_process, chains.rng) for _ in model.states]
     candidates = [sticks(p, chains.rng) for p in proposed]
-    pick = lambda w, k: F.coalesce(F.array_position(F.transform(F.array(*[F.lit(float(x)) for x in np.cumsum(w)]), lambda x: x > F.col(f"_v{k}")), True) - 1, F.lit(len(w) - 1)).cast("int")
     data = model.rows().select("*", *[F.rand(seed * 7919 + k).alias(f"_v{k}") for k in range(len(candidates))])
-    data = written(data.withColumn("z", F.concat("z", F.array(*[pick(w, k) for k, w in enumerate(candidates)]))).drop(*[f"_v{k}" for k in range(len(candidates))]), "rows")
+    data = written(data.withColumn("z", F.concat("z", F.array(*[_by_weights(w, F.col(f"_v{k}")) for k, w in enumerate(candidates)]))).drop(*[f"_v{k}" for k in range(len(candidates))]), "rows")
     found = data.where(F.col("rix") == found["rix"]).first()
     sizes = [len(v.weights) for s in model.states for v in s.views] + [len(w) for w in candidates]
     stats, counts = suffstats(data, book, sizes), category_sizes(data, sizes)

@@ -58,6 +58,18 @@ def test_windows_and_trenches_of_many_rows(many, spark):
     assert trench.where("row in ('r10', 'r11', 'r12', 'r13')").count() == 0 and trench.where("row = 'r9' and rix = 9").count() == 1
 
 
+def test_medians_of_many_rows(many, monkeypatch):
+    from polyview.operators import prediction
+
+    for df, want in ((many.rows(), 6.0), (many.rows().where("a <> 6 or rix % 2 = 0").where("a < 12"), None)):
+        n = df.count()
+        exact = df.agg(F.percentile("a", 0.5)).first()[0]
+        monkeypatch.setattr(prediction, "FEW", 10)
+        assert prediction.median(df, F.col("a"), n) == exact == (want if want is not None else exact)
+    some = df.limit(1000).withColumn("a", F.col("rix").cast("double") / 7)
+    assert prediction.median(some, F.col("a"), 1000) == pytest.approx(some.agg(F.percentile("a", 0.5)).first()[0])
+
+
 def frame(n=40, seed=0):
     rng = np.random.default_rng(seed)
     k = rng.integers(0, 2, n)
@@ -118,7 +130,7 @@ def test_surprisal_of_values(engine):
 
 
 def test_kernels_sets_and_cells(engine):
-    for more in ({"kernel": "gibbs"}, {"kernel": "sams"}, {"kernel": "finite", "column_kernel": "finite"}, {"column_kernel": "slice"}, {"transitions": "sams"}, {"transitions": "flat"}, {"transitions": "fast"}):
+    for more in ({"kernel": "gibbs"}, {"kernel": "sams"}, {"kernel": "finite", "column_kernel": "finite"}, {"column_kernel": "slice"}, {"transitions": ("columns", "components")}, {"transitions": "sams"}, {"transitions": "flat"}, {"transitions": "fast"}):
         e = engine.copy()
         e.model = models.Model(e.model.codebook, [models.State(list(s.views), s.process, dict(s.priors), list(s.diagnostics)) for s in e.model.states], e.model.data)
         e.update(1, **more)
