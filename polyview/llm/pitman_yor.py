@@ -28,6 +28,8 @@ Rows are scored each for itself, so repeated ids give repeated rows; null ids st
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -324,6 +326,12 @@ def _bucketed(df: DataFrame) -> DataFrame:
     path = new_path(spark, "pairs")
     name = f"polyview_pairs_{path[-12:]}"
     df.write.bucketBy(shuffle_parts(spark), "p").option("path", path).saveAsTable(name)
+
+    def leave() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone before this runs
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(leave)
     return spark.table(name)
 
 

@@ -155,7 +155,7 @@ def test_pitman_yor_scores(spark, monkeypatch):
         assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_pitman_yor_sums_to_one(spark):
+def test_pitman_yor_scores_a_text_alike_beside_any_others(spark):
     rows = [(k, t, "") for k, (_, t, _) in enumerate(corpus(60, 3))]
     vocab = sorted({w.decode() for _, t, _ in rows for w in lowered_words(t)})
     probe = [(1000 + k, f"river {w}", "") for k, w in enumerate([*vocab, "zzz"])] + [(2000, "river", "")]
