@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from polyview.llm.common import stored
 from polyview.llm.tokens import encoder
 
+#: Rows that a worker gets at a time.
+BATCH = 2000
+
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), and for pack(): part and the piece's rank among those of its
@@ -154,4 +157,4 @@ def pack(cut: DataFrame, size: int = 4096) -> DataFrame:
 
 
 def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, with_ids: bool = False) -> DataFrame:
-    return pack(stored(pieces(docs, tokenizer, end_id, size, with_ids), "pieces"), size)
+    return pack(stored(pieces(docs, tokenizer, end_id, size, with_ids), "pieces", rows=BATCH), size)
