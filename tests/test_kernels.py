@@ -72,16 +72,21 @@ def slice_step(p, rng):
 def test_chains_reach_the_exact_posterior(kind, process, kernel):
     names, want = exact(kind, PROCESSES[process])
     rng, p, seen = np.random.default_rng([3, len(kind), len(process), len(kernel)]), start(kind, PROCESSES[process]), dict.fromkeys(names, 0)
-    n = 1200
-    for _ in range(n):
-        for _ in range(2):
-            if kernel == "slice":
-                p = start(kind, PROCESSES[process], z=slice_step(p, rng))
-            else:
-                kernels.KERNELS[kernel](p, rng)
-        seen[canonical(p.z.tolist())] += 1
-    got = np.array([seen[z] for z in names]) / n
-    assert np.abs(np.cumsum(got) - np.cumsum(want)).mean() < 0.03
+    n = 0
+    for _ in range(5):  # the chain goes on until it is close, as samples in a row are alike
+        for _ in range(1200):
+            for _ in range(2):
+                if kernel == "slice":
+                    p = start(kind, PROCESSES[process], z=slice_step(p, rng))
+                else:
+                    kernels.KERNELS[kernel](p, rng)
+            seen[canonical(p.z.tolist())] += 1
+        n += 1200
+        got = np.array([seen[z] for z in names]) / n
+        error = np.abs(np.cumsum(got) - np.cumsum(want)).mean()
+        if error < 0.02:
+            break
+    assert error < 0.02
 
 
 @pytest.mark.parametrize("kind", COLUMNS)
