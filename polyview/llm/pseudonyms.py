@@ -37,6 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyview.llm.common import fresh_worker
+
 KINDS = ("card", "phone", "ssn", "ipv4", "date", "email")
 ROUNDS = 8
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -261,6 +263,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("t string, " + ", ".join(f"n_{k} long" for k in KINDS))
     def rewritten(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fresh_worker()
         tool = Pseudonyms(key)
         for b in batches:
             rows = [tool.rewrite(t) for t in b]
