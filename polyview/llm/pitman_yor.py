@@ -42,13 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.llm.common import Memo, drop_stored, lowered_words, mixed, new_path, shuffle_parts, stored
+from polyview.llm.common import drop_stored, mixed, new_path, shuffle_parts, stored
+from polyview.llm.wordhash import Places, word_hashes
 
 RARE = np.uint64(1 << 63)
 #: A word can't hold white space, so this is no word.
 END = xxhash.xxh3_64_intdigest(b"\n")
 CONTEXT_BITS, HOT, EXACT = 20, 1 << 17, 128
-STEP_TOKENS, PART_TOKENS, LEAST_PARTS, BURN_IN, SAMPLES = 800_000, 2_000_000, 8, 1, 2
+PART_TOKENS, LEAST_PARTS, BURN_IN, SAMPLES = 2_000_000, 8, 1, 2
 #: Marks the rows of pairs that hold what is the same in every sweep.
 FIXED = -1
 #: Entries of the totals that are added up in one task.
@@ -62,7 +63,7 @@ def squeezed(a: np.ndarray, delta: bool = False) -> bytes:
     """A column as compressed byte planes, ascending ones as differences."""
     if delta:
         a = np.diff(a, prepend=a.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T))
 
 
 def opened(raw: bytes, dtype: type, delta: bool = False) -> np.ndarray:
@@ -86,64 +87,93 @@ class Words:
     def contexts(self) -> int:
         return len(self.hashes) + 1
 
-    def memo(self) -> Memo:
-        place = {int(h): i for i, h in enumerate(self.hashes)}
-
-        def code(word: bytes) -> int:
-            h = xxhash.xxh3_64_intdigest(word)
-            i = place.get(h)
-            return h | 1 << 63 if i is None else i
-
-        return Memo(code)
-
     def end_code(self) -> int:
         i = int(np.searchsorted(self.hashes, np.uint64(END)))
         return i if i < len(self.hashes) and self.hashes[i] == END else END | 1 << 63
 
 
-def steps(texts: list[str | None], words: Words, memo: Memo) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def steps(texts: pa.Array, words: Words, places: Places) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Stretches of texts: number of the first, word codes, contexts, and how many tokens each text has."""
     end, start = words.end_code(), len(words.hashes)
-    at, codes, lengths, size = 0, [], [], 0
-    for k, t in enumerate(texts):
-        own = lowered_words(t)
-        codes.append(np.fromiter(map(memo.__getitem__, own), np.uint64, len(own)))
-        codes.append(np.array([end], np.uint64))
-        lengths.append(len(own) + 1)
-        size += lengths[-1]
-        if size >= STEP_TOKENS or k == len(texts) - 1:
-            code, n = np.concatenate(codes), np.array(lengths, np.int64)
-            context = np.empty(len(code), np.uint64)
-            context[1:] = code[:-1]
-            context[np.cumsum(n) - n] = start
-            yield at, code, context, n
-            at, codes, lengths, size = k + 1, [], [], 0
+    for at, h, n in word_hashes(texts):
+        n = n + 1
+        stop = np.cumsum(n)
+        place, common = places.of(h)
+        own = np.ones(stop[-1], bool)
+        own[stop - 1] = False
+        code = np.full(stop[-1], end, np.uint64)
+        code[own] = np.where(common, place.astype(np.uint64), h | RARE)
+        context = np.empty(len(code), np.uint64)
+        context[1:] = code[:-1]
+        context[stop - n] = start
+        yield at, code, context, n
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(keys + np.uint64(0x51)) % np.uint64(parts)).astype(np.int64)
 
 
+def ascending(a: np.ndarray) -> np.ndarray:
+    """np.argsort(a, kind="stable") of unsigned integers: sorts their first bits with the places in the last ones, and again
+    where the bits that were cut off decide."""
+    n = len(a)
+    bits, free = n.bit_length(), 64 - int(a.max()).bit_length() if n else 64
+    if not n or bits > 24:
+        return np.argsort(a, kind="stable")
+    low = np.uint64((1 << bits) - 1)
+    order = (a.astype(np.uint64) << np.uint64(min(free, 63))) & ~low | np.arange(n, dtype=np.uint64)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    if free < bits:
+        b = a[order]
+        if (b[1:] < b[:-1]).any():
+            order = order[np.argsort(b, kind="stable")]
+    return order
+
+
+def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and the number of each value's run."""
+    first = np.ones(len(a), bool)
+    first[1:] = a[1:] != a[:-1]
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(a, return_inverse=True)."""
+    order = ascending(a)
+    at, which = runs(a[order])
+    back = np.empty(len(a), np.int64)
+    back[order] = which
+    return a[order[at]], back
+
+
+def summed_up(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with sums of n (or how often they occur)."""
+    if n is None:
+        key = np.sort(key)
+        at, _ = runs(key)
+        return key[at], np.diff(np.append(at, len(key)))
+    order = ascending(key)
+    key = key[order]
+    at, _ = runs(key)
+    total = n[order].astype(np.int64)
+    return key[at], np.add.reduceat(total, at) if len(at) else total
+
+
 def counted(word: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (word, context), ascending, with sums of n (or how often they occur)."""
-    order = np.lexsort((at, word))
-    word, at = word[order], at[order]
-    first = np.ones(len(word), bool)
-    first[1:] = (word[1:] != word[:-1]) | (at[1:] != at[:-1])
-    ends = np.flatnonzero(first)
-    total = np.ones(len(word), np.int64) if n is None else n[order].astype(np.int64)
-    return word[first], at[first], np.add.reduceat(total, ends) if len(ends) else total
+    words, one = distinct(word)
+    contexts, two = distinct(at)
+    key, total = summed_up((one * len(contexts) + two).astype(np.uint64), n)
+    one, two = np.divmod(key.astype(np.int64), max(1, len(contexts)))
+    return words[one], contexts[two], total
 
 
 def _vocabulary(docs: DataFrame, common: int) -> Words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh3_64_intdigest)
         for b in batches:
-            got = [np.array([END] * len(b), np.uint64)]
-            for t in b.column("text").to_pylist():
-                own = lowered_words(t)
-                got.append(np.fromiter(map(memo.__getitem__, own), np.uint64, len(own)))
-            h, n = np.unique(np.concatenate(got), return_counts=True)
+            got = [np.full(len(b), END, np.uint64), *(h for _, h, _ in word_hashes(b.column("text"), 1_000_000))]
+            h, n = summed_up(np.concatenate(got))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     table = stored(docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
@@ -173,6 +203,7 @@ def _dealt(parts: int, *tables: tuple[np.ndarray, tuple[np.ndarray, ...]]) -> It
     """For each partition, the rows of each table that are dealt to it, in their order."""
     cut = []
     for p, columns in tables:
+        p = p.astype(np.min_scalar_type(parts))  # short ones are sorted fast
         order = np.argsort(p, kind="stable")
         cut.append((np.searchsorted(p[order], np.arange(parts + 1)), [c[order] for c in columns]))
     for k in range(parts):
@@ -191,12 +222,12 @@ def _pair_counts(docs: DataFrame, words: Words) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = shared.value.memo()
+        places = Places(shared.value.hashes)
         for b in batches:
-            for _, code, context, _ in steps(b.column("text").to_pylist(), shared.value, memo):
+            for _, code, context, _ in steps(b.column("text"), shared.value, places):
                 far = context >= RARE
                 rare, known = (code >= RARE) & ~far, (code < RARE) & ~far
-                key, n = np.unique(pair_keys(code[known], context[known]), return_counts=True)
+                key, n = summed_up(pair_keys(code[known], context[known]))
                 word, at, m = counted(code[rare], context[rare])
                 dealt = _dealt(shared.value.parts, (part_of(key, shared.value.parts), (key, n)), (part_of(word, shared.value.parts), (word, at, m)))
                 rows = [_row(p, 0, *a, *c) for p, (a, c) in dealt]
@@ -211,10 +242,7 @@ def _pair_counts(docs: DataFrame, words: Words) -> DataFrame:
         if p >= shared.value.parts:
             key, word, n = counted(key, word, n)
             return pa.Table.from_batches([_batch([_row(p, 0, key, n, word, _NONE, _NONE)])])
-        order = np.argsort(key, kind="stable")
-        key, ends = np.unique(key[order], return_index=True)
-        n = np.add.reduceat(n[order].astype(np.int64), ends) if len(ends) else n
-        return pa.Table.from_batches([_batch([_row(t.column("p")[0].as_py(), 0, key, n, *counted(word, at, m))])])
+        return pa.Table.from_batches([_batch([_row(p, 0, *summed_up(key, n), *counted(word, at, m))])])
 
     return docs.mapInArrow(run, _BLOB).groupBy("p").applyInArrow(merged, _BLOB)
 
@@ -296,7 +324,7 @@ def _parted(t: pa.Table) -> tuple[list[np.ndarray], dict[int, Said], tuple[np.nd
 
 def _fixed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     names = [opened(x, np.uint64, True) for x in t.column("key").to_pylist()]
-    names, which = np.unique(np.concatenate([np.empty(0, np.uint64), *names]), return_inverse=True)
+    names, which = distinct(np.concatenate([np.empty(0, np.uint64), *names]))
     return names, np.bincount(which, np.concatenate([_NONE, *(opened(x, np.uint32) for x in t.column("n").to_pylist())]), len(names)).astype(np.int64)
 
 
@@ -308,7 +336,7 @@ def _once(pairs: DataFrame, words: Words) -> DataFrame:
         for b in batches:
             for k in range(len(b)):
                 _, n, word, _, _ = _all(b.slice(k, 1))
-                names, many = np.unique(word[(word >= RARE) & (n == 1)], return_counts=True)
+                names, many = summed_up(word[(word >= RARE) & (n == 1)])
                 rows = [(q, FIXED, squeezed(w, True), squeezed(m.astype(np.uint32)), None, None, None) for q, ((w, m),) in _dealt(parts, (part_of(names, parts), (names, many)))]
                 for at in range(0, len(rows), 64):
                     yield _batch(rows[at : at + 64])
@@ -338,7 +366,7 @@ def _bucketed(df: DataFrame) -> DataFrame:
 def _far(said: Said, fixed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rare words that follow rare contexts: their tables and how often they do."""
     names = [opened(key, np.uint64, True) for _, key, *_ in said]
-    names, which = np.unique(np.concatenate([np.empty(0, np.uint64), *names, fixed[0]]), return_inverse=True)
+    names, which = distinct(np.concatenate([np.empty(0, np.uint64), *names, fixed[0]]))
     tables, n = (np.concatenate([_NONE, *(opened(x[k], np.uint32) for x in said), fixed[1]]) for k in (4, 2))
     return names, np.bincount(which, tables, len(names)), np.bincount(which, n, len(names)).astype(np.int64)
 
@@ -348,11 +376,13 @@ def sample(columns: list[np.ndarray], state: State | None, rng: np.random.Genera
     contexts are those of the sweep before. Without a state, one table a pair."""
     key, n, word, at, m = columns
     far_names, far_tables, far_n = _far(said, fixed)
-    names = np.unique(np.concatenate([word, far_names]))
-    which, at = np.searchsorted(names, word), at.astype(np.int64)
+    begin, which = runs(word)
+    names, _ = summed_up(np.concatenate([word[begin], far_names]))
+    which, at = np.searchsorted(names, word[begin])[which], at.astype(np.int64)
     more, seen = np.zeros(len(names)), np.bincount(which, m, len(names)).astype(np.int64)
-    more[np.searchsorted(names, far_names)] = far_tables
-    seen[np.searchsorted(names, far_names)] += far_n
+    there = np.searchsorted(names, far_names)
+    more[there] = far_tables
+    seen[there] += far_n
     tables, customers, under = np.ones(len(word)), np.bincount(which, minlength=len(names)) + more, np.ones(len(names))
     if state is None:
         context, code = (key & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64), (key >> np.uint64(CONTEXT_BITS)).astype(np.int64)
@@ -372,16 +402,18 @@ def sample(columns: list[np.ndarray], state: State | None, rng: np.random.Genera
 def far_sample(columns: list[np.ndarray], state: State | None, rng: np.random.Generator, said: Said, p: int) -> dict[str, np.ndarray]:
     """New seating of a partition's pairs in rare contexts, given those contexts' tables and the root's seating of the sweep before."""
     key, n, word, _, _ = columns
-    contexts, which = np.unique(key, return_inverse=True)
+    begin, which = runs(key)
+    contexts = key[begin]
     t = np.ones(len(word))
     rare = word >= RARE
     more = np.flatnonzero(n > 1)  # the others have one table each
     if state is not None and len(more):
         tables = np.bincount(which, minlength=len(contexts)).astype(float)
-        tables[np.unique(which[more])] = np.concatenate([_NONE, *(opened(x[4], np.uint32) for x in said if x[0] == p)])
+        own = which[more]
+        tables[own[runs(own)[0]]] = np.concatenate([_NONE, *(opened(x[4], np.uint32) for x in said if x[0] == p)])
         names = np.concatenate([np.empty(0, np.uint64), *(opened(x[1], np.uint64, True) for x in said if x[0] != p)])
         held = np.concatenate([np.empty(0), *(opened(x[3], float) for x in said if x[0] != p)])
-        order = np.argsort(names)
+        order = ascending(names)
         parent, own = np.empty(len(more)), word[more]
         far = rare[more]
         parent[~far] = state.p_common[own[~far].astype(np.int64)]
@@ -425,9 +457,9 @@ def _sums(pairs: DataFrame, said: DataFrame | None, words: Words, state: State |
             total[2 * contexts : -4] += np.bincount(word[~rare].astype(np.int64), got["t"][~rare], common)
             total[-2:] += [(n == 1).sum(), (n == 2).sum()]
             more = got["more"]
-            rows.append((p, tag + p, None, None, None, None, squeezed(got["tables"][np.unique(got["which"][more])].astype(np.uint32))))
+            rows.append((p, tag + p, None, None, None, None, squeezed(got["tables"][summed_up(got["which"][more])[0]].astype(np.uint32))))
             said_ = more[rare[more]]
-            names, which = np.unique(word[said_], return_inverse=True)
+            names, which = distinct(word[said_])
             tables, seen = (np.bincount(which, x[said_], len(names)).astype(np.uint32) for x in (got["t"], n))
             for q, ((w, x, y),) in _dealt(parts, (part_of(names, parts), (names, tables, seen))):
                 rows.append((q, tag + p, squeezed(w, True), squeezed(y), None, None, squeezed(x)))
@@ -498,7 +530,8 @@ class Model:
     def far_scores(self, columns: list[np.ndarray], p: int, said: dict[int, Said], tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> list[np.ndarray]:
         """Average probabilities of tokens (context, word, root probabilities by sample if rare) after rare contexts."""
         key, n, word, _, _ = columns
-        bounds = np.unique(key, return_index=True)
+        begin, _ = runs(key)
+        bounds = key[begin], begin
         ends = np.append(bounds[1][1:], len(key))
         out = [0.0] * len(tokens)
         places = []
@@ -554,6 +587,12 @@ def _log_counts(c: np.ndarray) -> np.ndarray:
     return np.log10(c.astype(float) + 1)
 
 
+def _by_doc(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The texts (by number) that there are, and sums of the values by text."""
+    who = np.flatnonzero(np.bincount(doc))
+    return who.astype(np.uint32), *(np.bincount(doc, v)[who] for v in values)
+
+
 _PARTS = "p int, batch long, head boolean, id binary, key binary, n binary, word binary, at binary, m binary, x binary, y binary, z binary"
 
 
@@ -575,9 +614,9 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, keys, values = shared.value
-        memo, number = own.words.memo(), 0
+        places, number = Places(own.words.hashes), 0
         for b in batches:
-            for first, code, context, lengths in steps(b.column("text").to_pylist(), own.words, memo):
+            for first, code, context, lengths in steps(b.column("text"), own.words, places):
                 batch = TaskContext.get().partitionId() << 32 | number
                 number += 1
                 doc = np.repeat(np.arange(len(lengths)), lengths).astype(np.uint32)
@@ -585,22 +624,22 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
                 logs = np.bincount(doc[~rare], _log_counts(own.words.counts)[code[~rare].astype(np.int64)], len(lengths))
                 n_known = np.bincount(doc[~rare], minlength=len(lengths))
                 key, of = pair_keys(code[~rare & ~far], context[~rare & ~far]), doc[~rare & ~far]
-                place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                hot = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+                order = ascending(key)
+                key, of = key[order], of[order]
+                place, hot = lookup(keys, key)
                 score = np.bincount(of[hot], np.log10(hot_values[place[hot]]), len(lengths))
                 sink = pa.BufferOutputStream()
                 ids = b.column("doc_id").slice(first, len(lengths))
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as w:
                     w.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
                 yield batch_of([(_home(batch), batch, True, sink.getvalue().to_pybytes(), squeezed(lengths.astype(np.uint64)), None, None, None, squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None)])
-                order = np.argsort(key[~hot], kind="stable")
-                key, of = key[~hot][order], of[~hot][order]
+                key, of = key[~hot], of[~hot]
                 rows, parts = [], own.words.parts
-                near, both = ((part_of(code[k], parts), (code[k], context[k], doc[k])) for k in (o[np.argsort(code[o], kind="stable")] for o in (np.flatnonzero(rare & ~far), np.flatnonzero(rare & far))))
+                near, both = ((part_of(code[k], parts), (code[k], context[k], doc[k])) for k in (o[ascending(code[o])] for o in (np.flatnonzero(rare & ~far), np.flatnonzero(rare & far))))
                 for p, (a, c, e) in _dealt(parts, (part_of(key, parts), (key, of)), near, both):
                     rows.append((p, batch, False, None, squeezed(a[0], True), squeezed(a[1]), squeezed(c[0], True), squeezed(c[1].astype(np.uint32)), squeezed(c[2]), squeezed(e[0], True), squeezed(e[1]), squeezed(e[2])))
                 k = np.flatnonzero(far & ~rare)
-                k = k[np.argsort(context[k], kind="stable")]
+                k = k[ascending(context[k])]
                 for q, ((u, w, d),) in _dealt(parts, (part_of(context[k], parts), (context[k], code[k], doc[k]))):
                     rows.append((parts + q, batch, False, None, squeezed(u, True), squeezed(d), squeezed(w.astype(np.uint32)), None, None, None, None, None))
                 for k in range(0, len(rows), 64):
@@ -638,19 +677,18 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
             spot = np.minimum(np.searchsorted(join, pair), max(0, len(join) - 1))
             both = known & (join[spot] == pair) if len(join) else known
             y[both] = two[spot[both]]
-            who, back = np.unique(np.concatenate([of, doc]), return_inverse=True)
-            score = np.bincount(back, np.log10(np.concatenate([x, y])), len(who))
+            who, score = _by_doc(np.concatenate([of, doc]), np.log10(np.concatenate([x, y])))
             c = np.where(known, total[place], 0) if len(total) else np.zeros(len(word), np.int64)
             # after rare contexts, words go on to those with their root probabilities
             word2, at2, doc2 = opened(word2, np.uint64, True), opened(at2, np.uint64), opened(doc2, np.uint32)
             place, known = lookup(names_, word2)
             c2 = np.where(known, total[place], 0) if len(total) else np.zeros(len(word2), np.int64)
             root = np.where(known, roots[:, place], unknown[:, None]) if len(names_) else np.repeat(unknown[:, None], len(word2), 1)
-            order = np.argsort(at2, kind="stable")
+            order = ascending(at2)
             for q, ((u, w, d, *r),) in _dealt(own.words.parts, (part_of(at2[order], own.words.parts), (at2[order], word2[order], doc2[order], *root[:, order]))):
                 out.append((own.words.parts + q, batch, False, None, squeezed(u, True), squeezed(d), squeezed(w), None, None, squeezed(np.concatenate(r)), None, None))
-            c, (rare, back) = np.concatenate([c, c2]), np.unique(np.concatenate([doc, doc2]), return_inverse=True)
-            logs, n_known = np.bincount(back, _log_counts(c), len(rare)), np.bincount(back, c > 0, len(rare))
+            c, doc = np.concatenate([c, c2]), np.concatenate([doc, doc2])
+            rare, logs, n_known = _by_doc(doc, _log_counts(c), c > 0)
             out.append((_home(batch), batch, False, None, None, squeezed(who), None, squeezed(rare), squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None))
         return pa.Table.from_batches([batch_of(out)])
 
@@ -666,8 +704,8 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
         columns, said_, _ = _parted(right)
         out = []
         for batch, doc, x in zip(left.column("batch").to_pylist(), docs_, own.far_scores(columns, left.column("p")[0].as_py(), said_, tokens), strict=True):
-            who, back = np.unique(doc, return_inverse=True)
-            out.append((_home(batch), batch, False, None, None, squeezed(who), None, squeezed(_NONE), squeezed(_NONE), squeezed(np.bincount(back, np.log10(x), len(who))), squeezed(np.empty(0)), None))
+            who, score = _by_doc(doc, np.log10(x))
+            out.append((_home(batch), batch, False, None, None, squeezed(who), None, squeezed(_NONE), squeezed(_NONE), squeezed(score), squeezed(np.empty(0)), None))
         return pa.Table.from_batches([batch_of(out)])
 
     constant = np.log10(words.tokens + words.kinds + 1)
