@@ -98,6 +98,12 @@ def drop_stored(*tables: DataFrame) -> None:
             _delete(t.sparkSession, t._stored_at)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that shuffle files of tables that are stored by now go from the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in the one column of ``ids``; rows without an id stay. The ids are written and
     counted; up to MOST_IDS of them are broadcast, so no text is shuffled, and more are left to a join by shuffle."""

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyview.llm.common import drop_stored, mixed, new_path, shuffle_parts, stored
+from polyview.llm.common import drop_stored, forget_shuffles, mixed, new_path, shuffle_parts, stored
 from polyview.llm.wordhash import Places, word_hashes
 
 RARE = np.uint64(1 << 63)
@@ -52,10 +52,14 @@ CONTEXT_BITS, HOT, EXACT = 20, 1 << 17, 128
 PART_TOKENS, LEAST_PARTS, BURN_IN, SAMPLES = 2_000_000, 8, 1, 2
 #: Marks the rows of pairs that hold what is the same in every sweep.
 FIXED = -1
+#: Bits of a text's number in its batch.
+DOC_BITS = 32
+_NEAR, _RARE, _FAR = ((np.uint64, True),), ((np.uint64, True), (np.uint32, False)), ((np.uint64, True), (np.uint64, False))
 #: Entries of the totals that are added up in one task.
 BLOCK = 4096
 _COLUMNS = ("key", "n", "word", "at", "m")
 _NONE = np.empty(0, np.uint32)
+_PRESS, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _BLOB = "p int, batch long, key binary, n binary, word binary, at binary, m binary"
 
 
@@ -63,11 +67,11 @@ def squeezed(a: np.ndarray, delta: bool = False) -> bytes:
     """A column as compressed byte planes, ascending ones as differences."""
     if delta:
         a = np.diff(a, prepend=a.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T))
+    return _PRESS.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T))
 
 
 def opened(raw: bytes, dtype: type, delta: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    planes = np.frombuffer(_OPEN.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
     a = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
     return np.cumsum(a, dtype=dtype) if delta else a
 
@@ -587,10 +591,25 @@ def _log_counts(c: np.ndarray) -> np.ndarray:
     return np.log10(c.astype(float) + 1)
 
 
-def _by_doc(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The texts (by number) that there are, and sums of the values by text."""
-    who = np.flatnonzero(np.bincount(doc))
-    return who.astype(np.uint32), *(np.bincount(doc, v)[who] for v in values)
+def _numbers(doc: np.ndarray) -> np.ndarray:
+    """The numbers of texts in their batches."""
+    return (doc & ((1 << DOC_BITS) - 1)).astype(np.uint32)
+
+
+def _gathered(t: pa.Table, batches: np.ndarray, columns: tuple[str, ...], *kinds: tuple[type, bool]) -> list[np.ndarray]:
+    """Columns of all batches one after another; the last one's numbers of texts with the row's number before them."""
+    out = [np.concatenate([np.empty(0, d), *(opened(x, d, delta) for x in t.column(c).to_pylist())]) for c, (d, delta) in zip(columns[:-1], kinds, strict=True)]
+    return [*out, np.concatenate([np.empty(0, np.int64), *(opened(x, np.uint32).astype(np.int64) | k << DOC_BITS for k, x in enumerate(t.column(columns[-1]).to_pylist()))])]
+
+
+def _by_batch(batches: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """By batch: the numbers of the texts that there are, and sums of the values by text."""
+    who, back = distinct(doc.astype(np.uint64))
+    sums = [np.bincount(back, v, len(who)) for v in values]
+    batch = batches[(who >> np.uint64(DOC_BITS)).astype(np.int64)]
+    order = np.argsort(batch, kind="stable")
+    begin, _ = runs(batch[order])
+    return {int(batch[k[0]]): (_numbers(who[k].astype(np.int64)), *(v[k] for v in sums)) for k in np.split(order, begin[1:]) if len(k)}
 
 
 _PARTS = "p int, batch long, head boolean, id binary, key binary, n binary, word binary, at binary, m binary, x binary, y binary, z binary"
@@ -646,50 +665,53 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
                     yield batch_of(rows[k : k + 64])
 
     def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sums by document of the tokens of one partition; the batches' heads pass as they are."""
+        """Sums by document of the tokens of one partition, those of all batches at once; the batches' heads pass as they are."""
         if not len(left):
             return left
-        out = []
         own = shared.value[0]
-        p = left.column("p")[0].as_py()
-        if p < 0 or p >= own.words.parts:
+        p, parts = left.column("p")[0].as_py(), own.words.parts
+        if p < 0 or p >= parts:
             return left
         columns, said_, fixed = _parted(right)
         one, two, names_, roots, total = own.pair_probabilities(columns, p, said_, fixed)
         pkey, _, pword, pat, _ = columns
-        join = (np.searchsorted(names_, pword).astype(np.uint64) << np.uint64(CONTEXT_BITS)) | pat.astype(np.uint64)
         unknown = np.array([after.new_mass() * after.unknown / (after.theta0 + after.root_customers) for _, _, after in own.sweeps])
-        for batch, key, n, word, at, m, word2, at2, doc2 in zip(*(left.column(c).to_pylist() for c in ("batch", *_COLUMNS, "x", "y", "z")), strict=True):
-            key, of = opened(key, np.uint64, True), opened(n, np.uint32)
-            word, at, doc = opened(word, np.uint64, True), opened(at, np.uint32).astype(np.int64), opened(m, np.uint32)
-            place = np.minimum(np.searchsorted(pkey, key), max(0, len(pkey) - 1))
-            seen = pkey[place] == key if len(pkey) else np.zeros(len(key), bool)
-            x = np.empty(len(key))
-            x[seen] = one[place[seen]]
-            rest = key[~seen]
-            code, context = (rest >> np.uint64(CONTEXT_BITS)).astype(np.int64), (rest & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)
-            x[~seen] = own.unseen(context, np.array([after.p_common[code] for _, _, after in own.sweeps]))
-            place = np.minimum(np.searchsorted(names_, word), max(0, len(names_) - 1))
-            known = names_[place] == word if len(names_) else np.zeros(len(word), bool)
-            root = np.where(known, roots[:, place], unknown[:, None]) if len(names_) else np.repeat(unknown[:, None], len(word), 1)
-            y = own.unseen(at, root)
-            pair = place.astype(np.uint64) << np.uint64(CONTEXT_BITS) | at.astype(np.uint64)
-            spot = np.minimum(np.searchsorted(join, pair), max(0, len(join) - 1))
-            both = known & (join[spot] == pair) if len(join) else known
-            y[both] = two[spot[both]]
-            who, score = _by_doc(np.concatenate([of, doc]), np.log10(np.concatenate([x, y])))
-            c = np.where(known, total[place], 0) if len(total) else np.zeros(len(word), np.int64)
-            # after rare contexts, words go on to those with their root probabilities
-            word2, at2, doc2 = opened(word2, np.uint64, True), opened(at2, np.uint64), opened(doc2, np.uint32)
-            place, known = lookup(names_, word2)
-            c2 = np.where(known, total[place], 0) if len(total) else np.zeros(len(word2), np.int64)
-            root = np.where(known, roots[:, place], unknown[:, None]) if len(names_) else np.repeat(unknown[:, None], len(word2), 1)
-            order = ascending(at2)
-            for q, ((u, w, d, *r),) in _dealt(own.words.parts, (part_of(at2[order], own.words.parts), (at2[order], word2[order], doc2[order], *root[:, order]))):
-                out.append((own.words.parts + q, batch, False, None, squeezed(u, True), squeezed(d), squeezed(w), None, None, squeezed(np.concatenate(r)), None, None))
-            c, doc = np.concatenate([c, c2]), np.concatenate([doc, doc2])
-            rare, logs, n_known = _by_doc(doc, _log_counts(c), c > 0)
-            out.append((_home(batch), batch, False, None, None, squeezed(who), None, squeezed(rare), squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None))
+        batches = left.column("batch").to_numpy()
+        (key, of), (word, at, doc), (word2, at2, doc2) = (_gathered(left, batches, c, *kinds_) for c, kinds_ in ((("key", "n"), _NEAR), (("word", "at", "m"), _RARE), (("x", "y", "z"), _FAR)))
+        place, seen = lookup(pkey, key)
+        x = np.empty(len(key))
+        x[seen] = one[place[seen]]
+        rest = key[~seen]
+        code, context = (rest >> np.uint64(CONTEXT_BITS)).astype(np.int64), (rest & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)
+        x[~seen] = own.unseen(context, np.array([after.p_common[code] for _, _, after in own.sweeps]))
+
+        def rooted(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Places, whether the word is known, its root probabilities by sample, how often it was seen."""
+            place, known = lookup(names_, w)
+            if not len(names_):
+                return place, known, np.repeat(unknown[:, None], len(w), 1), np.zeros(len(w), np.int64)
+            return place, known, np.where(known, roots[:, place], unknown[:, None]), np.where(known, total[place], 0)
+
+        place, known, root, c = rooted(word)
+        y = own.unseen(at.astype(np.int64), root)
+        begin, which = runs(pword)
+        join = np.searchsorted(names_, pword[begin])[which].astype(np.uint64) << np.uint64(CONTEXT_BITS) | pat.astype(np.uint64)
+        spot, both = lookup(join, place.astype(np.uint64) << np.uint64(CONTEXT_BITS) | at.astype(np.uint64))
+        both &= known
+        y[both] = two[spot[both]]
+        # after rare contexts, words go on to those with their root probabilities
+        _, _, root, c2 = rooted(word2)
+        order = ascending(at2)
+        out = []
+        for q, ((u, w, d, *r),) in _dealt(parts, (part_of(at2[order], parts), (at2[order], word2[order], doc2[order], *root[:, order]))):
+            out.append((parts + q, 0, False, None, squeezed(u, True), squeezed(_numbers(d)), squeezed(w), None, squeezed(batches[d >> DOC_BITS]), squeezed(np.concatenate(r)), None, None))
+        scores = _by_batch(batches, np.concatenate([of, doc]), np.log10(np.concatenate([x, y])))
+        c = np.concatenate([c, c2])
+        counts = _by_batch(batches, np.concatenate([doc, doc2]), _log_counts(c), c > 0)
+        nothing = _NONE, np.empty(0), np.empty(0)
+        for k in sorted({*scores, *counts}):
+            (who, score), (rare, logs, n_known) = scores.get(k, nothing[:2]), counts.get(k, nothing)
+            out.append((_home(k), k, False, None, None, squeezed(who), None, squeezed(rare), squeezed(n_known.astype(np.uint32)), squeezed(score), squeezed(logs), None))
         return pa.Table.from_batches([batch_of(out)])
 
     def looked_up_far(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -697,33 +719,40 @@ def _scored(docs: DataFrame, pairs: DataFrame, said: DataFrame, model: Model, id
         own = shared.value[0]
         if not len(left) or left.column("p")[0].as_py() < 0:
             return left
+        batches = np.unique(np.concatenate([left.column("batch").to_numpy(), *(opened(a, np.int64) for a in left.column("m").to_pylist() if a is not None)]))
         tokens, docs_ = [], []
-        for key, n, word, x in zip(*(left.column(c).to_pylist() for c in ("key", "n", "word", "x")), strict=True):
-            tokens.append((opened(key, np.uint64, True), opened(word, np.uint32 if x is None else np.uint64).astype(np.uint64), None if x is None else opened(x, float).reshape(len(own.sweeps), -1)))
-            docs_.append(opened(n, np.uint32))
+        for far in (False, True):  # common words, then rare ones with their roots
+            t = left.filter(pa.array([(x is not None) == far for x in left.column("x").to_pylist()]))
+            key, n, word, m, x = (t.column(c).to_pylist() for c in ("key", "n", "word", "m", "x"))
+            if not len(t):
+                continue
+            roots = np.concatenate([opened(a, float).reshape(len(own.sweeps), -1) for a in x], axis=1) if far else None
+            tokens.append((np.concatenate([opened(a, np.uint64, True) for a in key]), np.concatenate([opened(a, np.uint64 if far else np.uint32).astype(np.uint64) for a in word]), roots))
+            numbers = [opened(a, np.uint32).astype(np.int64) for a in n]
+            which = [opened(a, np.int64) for a in m] if far else [np.full(len(a), k) for a, k in zip(numbers, t.column("batch").to_pylist(), strict=True)]
+            docs_.append(np.searchsorted(batches, np.concatenate(which)) << DOC_BITS | np.concatenate(numbers))
         columns, said_, _ = _parted(right)
+        found = own.far_scores(columns, left.column("p")[0].as_py(), said_, tokens)
         out = []
-        for batch, doc, x in zip(left.column("batch").to_pylist(), docs_, own.far_scores(columns, left.column("p")[0].as_py(), said_, tokens), strict=True):
-            who, score = _by_doc(doc, np.log10(x))
-            out.append((_home(batch), batch, False, None, None, squeezed(who), None, squeezed(_NONE), squeezed(_NONE), squeezed(score), squeezed(np.empty(0)), None))
+        for k, (who, score) in sorted(_by_batch(batches, np.concatenate(docs_), np.log10(np.concatenate(found))).items()):
+            out.append((_home(k), k, False, None, None, squeezed(who), None, squeezed(_NONE), squeezed(_NONE), squeezed(score), squeezed(np.empty(0)), None))
         return pa.Table.from_batches([batch_of(out)])
 
     constant = np.log10(words.tokens + words.kinds + 1)
 
     def summed(t: pa.Table) -> pa.Table:
         """The documents of one batch of texts."""
-        heads = [k for k, h in enumerate(t.column("head").to_pylist()) if h]
-        col = lambda c, k: t.column(c)[k].as_py()
-        h = heads[0]
-        lengths, n_known = opened(col("key", h), np.uint64).astype(np.int64), opened(col("m", h), np.uint32).astype(np.int64)
-        score, logs = opened(col("x", h), float).copy(), opened(col("y", h), float).copy()
+        h = t.column("head").to_pylist().index(True)
+        col = {c: t.column(c).to_pylist() for c in ("id", "key", "n", "at", "m", "x", "y")}
+        lengths, n_known = opened(col["key"][h], np.uint64).astype(np.int64), opened(col["m"][h], np.uint32).astype(np.int64)
+        score, logs = opened(col["x"][h], float).copy(), opened(col["y"][h], float).copy()
         for k in range(len(t)):
             if k != h:
-                score[opened(col("n", k), np.uint32)] += opened(col("x", k), float)
-                rare = opened(col("at", k), np.uint32)
-                logs[rare] += opened(col("y", k), float)
-                n_known[rare] += opened(col("m", k), np.uint32)
-        ids = pa.ipc.open_stream(col("id", h)).read_all().column("doc_id").combine_chunks()
+                score[opened(col["n"][k], np.uint32)] += opened(col["x"][k], float)
+                rare = opened(col["at"][k], np.uint32)
+                logs[rare] += opened(col["y"][k], float)
+                n_known[rare] += opened(col["m"][k], np.uint32)
+        ids = pa.ipc.open_stream(col["id"][h]).read_all().column("doc_id").combine_chunks()
         n = len(lengths)
         return pa.table({"doc_id": ids, "n_tokens": lengths, "n_known": n_known, "train_tokens": np.full(n, words.tokens, np.int64), "base_score": logs - lengths * constant, "score": score})
 
@@ -744,6 +773,7 @@ def score(docs: DataFrame, train: Column | None = None, common: int = 1 << 16, t
     counts = stored(_pair_counts(learned, words), "counts")
     pairs = _bucketed(counts.unionByName(_once(counts, words)))
     drop_stored(counts)
+    forget_shuffles(docs.sparkSession)
     rng = np.random.default_rng([seed, 1])
     # rare contexts' partitions speak first, so that all rare words are known where they are seated
     _, first = _sums(pairs.where(F.col("p") >= words.parts), None, words, None, seed, -1)
@@ -760,4 +790,5 @@ def score(docs: DataFrame, train: Column | None = None, common: int = 1 << 16, t
             drop_stored(said)
         now, said = after, more
     drop_stored(said)
+    forget_shuffles(docs.sparkSession)
     return _scored(docs, pairs, reduce(DataFrame.unionByName, kept), Model(words, sweeps, seed), docs.schema["doc_id"].dataType.simpleString())

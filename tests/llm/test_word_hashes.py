@@ -65,3 +65,22 @@ def test_orders_and_sums():
         for k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
             sums[k[:2]] = sums.get(k[:2], 0) + k[2]
         assert [((w, u), m) for w, u, m in zip(*(x.tolist() for x in py.counted(a, b, n)), strict=True)] == sorted(sums.items())
+
+
+def test_scores_do_not_depend_on_batches(spark, monkeypatch):
+    """Rare words after rare contexts go on together for all batches of texts, with their batch beside them."""
+    monkeypatch.setattr(py, "PART_TOKENS", 500)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 40)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in py.score(docs, common=10).collect()}
+    doc = np.array([3 << py.DOC_BITS | 5, 1 << py.DOC_BITS | 5, 3 << py.DOC_BITS | 5, 7])
+    got = py._by_batch(np.array([9, 4, 2, 1 << 32 | 1]), doc, np.array([1.0, 2.0, 4.0, 8.0]))
+    assert {k: (w.tolist(), v.tolist()) for k, (w, v) in got.items()} == {9: ([7], [8.0]), 4: ([5], [2.0]), 1 << 32 | 1: ([5], [5.0])}
+    many = docs.repartition(12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r["doc_id"]: r["score"] for r in py.score(many, common=10).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == pytest.approx(want)
