@@ -68,7 +68,9 @@ class Encoder:
         self.tokenizer.model._resize_cache(0)  # what is met again is in ``known``
         self.specials = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_spaces, self.dtype, self.limit = keeps_spaces, np.dtype(dtype), limit
-        self.marks = {m: [x.id for x in self.tokenizer.model.tokenize(m)] for m in _MARKS}
+        raw, size = np.arange(max(self.tokenizer.get_vocab().values()) + 1).astype(self.dtype).tobytes(), self.dtype.itemsize
+        self.raw = [raw[at : at + size] for at in range(0, len(raw), size)]
+        self.marks = {m: b"".join([self.raw[x.id] for x in self.tokenizer.model.tokenize(m)]) for m in _MARKS}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # pieces move on from here when they are met again
 
@@ -135,20 +137,25 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Plain words, perhaps with a mark behind them, are merged by the library's model at once; its whole chain of
-        normalisation and cutting, which leaves them as they are, costs as much again. All else takes that way."""
+        normalisation and cutting, which leaves them as they are, costs as much again. All else takes that way. A word that
+        is known, or comes here with another mark, is merged once."""
         tokenize, dtype, known, marks, rest = self.tokenizer.model.tokenize, self.dtype, self.known, self.marks, []
+        older, raw, merged = self.older, self.raw, {}
         for p in pieces:
             m = _PLAIN.fullmatch(p)
             if m is None:
                 rest.append(p)
                 continue
             bare, word, mark = m.groups()
-            if not self.keeps_spaces:
-                word = word.lower()
-            if not word.isascii():
-                word = "".join(map(_BYTE.__getitem__, word.encode()))
-            ids = [x.id for x in tokenize(word if bare or not self.keeps_spaces else _SPACE + word)]
-            known[p] = np.array(ids + marks[mark] if mark else ids, dtype).tobytes()
+            stem = p[:-1] if mark else p
+            own = merged.get(stem) or known.get(stem) or older.get(stem)
+            if own is None:
+                if not self.keeps_spaces:
+                    word = word.lower()
+                if not word.isascii():
+                    word = "".join(map(_BYTE.__getitem__, word.encode()))
+                own = merged[stem] = b"".join([raw[x.id] for x in tokenize(word if bare or not self.keeps_spaces else _SPACE + word)])
+            known[p] = own + marks[mark] if mark else own
         for at in range(0, len(rest), 50_000):
             part = rest[at : at + 50_000]
             texts = part if not self.keeps_spaces else [p if p == "\n" else p[1:] if p.startswith(_BARE) else f" {p}" for p in part]
