@@ -12,14 +12,15 @@ Strings of special tokens in a text get the special ids, as the library does it;
 
 from __future__ import annotations
 
+import codecs
 import functools
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
-from polyview.llm.common import KEPT
+from polyview.llm.common import KEPT, Memo
 
 #: Characters that regular expressions may count as white space or that normalisation may drop; surrogates can't be encoded.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿\ud800-\udfff]")
@@ -30,9 +31,10 @@ _ENDS = ("  ", " \n", "\n ", "\n\n")
 #: Marks a piece without a space before it; no even text has it.
 _BARE = "\x01"
 
-#: Letters that stay one piece and as they are, but for their case, in both vocabularies; marks that are a piece of their own.
+#: Letters that stay one piece and as they are, but for their case, in both vocabularies; behind them marks, whose run is a piece of its
+#: own (an apostrophe may go with letters). The most frequent runs are known from the start.
+_PLAIN = re.compile(f"(({_BARE}?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+))([!-&(-/:-@\\[-`{{-~]*)")
 _MARKS = ".,;:!?"
-_PLAIN = re.compile(f"({_BARE}?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{_MARKS}]?)")
 
 
 def _byte_letters() -> list[str]:
@@ -43,7 +45,7 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
-_BYTE = _byte_letters()
+_BYTE = "".join(_byte_letters())
 _SPACE = _BYTE[0x20]
 
 
@@ -56,6 +58,24 @@ def is_odd(text: str) -> bool:
         return True
 
 
+class Pieces(dict):
+    """Ids of pieces. A plain piece that is lacking is merged when it is asked for; another one is None and put down as odd."""
+
+    def __init__(self, plain: Callable[[str], bytes | None], older: dict[str, bytes], odd: dict[str, None]):
+        super().__init__()
+        self.plain, self.older, self.odd = plain, older, odd
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.plain(piece)
+            if ids is None:
+                self.odd[piece] = None
+                return None
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """keeps_spaces: whether the vocabulary has tokens for white space (byte-level) or drops it."""
 
@@ -70,9 +90,11 @@ class Encoder:
         self.keeps_spaces, self.dtype, self.limit = keeps_spaces, np.dtype(dtype), limit
         raw, size = np.arange(max(self.tokenizer.get_vocab().values()) + 1).astype(self.dtype).tobytes(), self.dtype.itemsize
         self.raw = [raw[at : at + size] for at in range(0, len(raw), size)]
-        self.marks = {m: b"".join([self.raw[x.id] for x in self.tokenizer.model.tokenize(m)]) for m in _MARKS}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # pieces move on from here when they are met again
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks = Memo(self._merged)
+        for m in _MARKS:
+            self.marks[m]
+        self.known = Pieces(self._plain, {}, {})  # pieces move on from ``older`` when they are met again
 
     def pieces(self, text: str) -> list[str] | None:
         """None for a text that has to be encoded whole."""
@@ -97,11 +119,12 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers; none for a null."""
         if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
+            self.known.older = {}
+            self.known = Pieces(self._plain, self.known, {})
         out: list[bytes | None] = []
-        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        new: dict[str, None] = {}
-        get, first, copies = self.known.get, {}, []
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        self.tokenize = self.tokenizer.model.tokenize
+        get, first, copies = self.known.__getitem__, {}, []
         for n, t in enumerate(texts):
             if first.setdefault(t, n) != n:
                 copies.append((n, first[t]))
@@ -113,56 +136,50 @@ class Encoder:
                 continue
             ids = list(map(get, own))
             if None in ids:
-                gaps = [k for k, x in enumerate(ids) if x is None]
-                new.update(dict.fromkeys([own[k] for k in gaps]))
-                waiting.append((len(out), own, ids, gaps))
+                waiting.append((len(out), own, ids))
                 out.append(None)
             else:
                 out.append(b"".join(ids))
         if waiting:
-            fresh = []
-            for p in new:
-                if p in self.older:
-                    self.known[p] = self.older[p]
-                else:
-                    fresh.append(p)
-            self._learn(fresh)
-            for n, own, ids, gaps in waiting:
-                for k in gaps:
-                    ids[k] = self.known[own[k]]
-                out[n] = b"".join(ids)
+            self._learn(list(self.known.odd))
+            self.known.odd.clear()
+            for n, own, ids in waiting:
+                out[n] = b"".join([get(p) if x is None else x for p, x in zip(own, ids, strict=True)])
         for n, k in copies:
             out[n] = out[k]
         return out
 
+    def _merged(self, word: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[x.id] for x in self.tokenize(word)])
+
+    def _plain(self, piece: str) -> bytes | None:
+        """Plain words, perhaps with marks behind them, are merged by the library's model at once; its whole chain of
+        normalisation and cutting, which leaves them as they are, costs as much again. A word that is known, or comes with
+        other marks, is merged once. None for all else."""
+        if piece.isascii() and piece.isalpha():
+            return self._merged(_SPACE + piece if self.keeps_spaces else piece.lower())
+        m = _PLAIN.fullmatch(piece)
+        if m is None:
+            return None
+        stem, bare, word, marks = m.groups()
+        if marks:
+            return self.known[stem] + self.marks[marks]
+        if not self.keeps_spaces:
+            word = word.lower()
+        if not word.isascii():
+            word = codecs.charmap_decode(word.encode(), "strict", _BYTE)[0]
+        return self._merged(word if bare or not self.keeps_spaces else _SPACE + word)
+
     def _learn(self, pieces: list[str]) -> None:
-        """Plain words, perhaps with a mark behind them, are merged by the library's model at once; its whole chain of
-        normalisation and cutting, which leaves them as they are, costs as much again. All else takes that way. A word that
-        is known, or comes here with another mark, is merged once."""
-        tokenize, dtype, known, marks, rest = self.tokenizer.model.tokenize, self.dtype, self.known, self.marks, []
-        older, raw, merged = self.older, self.raw, {}
-        for p in pieces:
-            m = _PLAIN.fullmatch(p)
-            if m is None:
-                rest.append(p)
-                continue
-            bare, word, mark = m.groups()
-            stem = p[:-1] if mark else p
-            own = merged.get(stem) or known.get(stem) or older.get(stem)
-            if own is None:
-                if not self.keeps_spaces:
-                    word = word.lower()
-                if not word.isascii():
-                    word = "".join(map(_BYTE.__getitem__, word.encode()))
-                own = merged[stem] = b"".join([raw[x.id] for x in tokenize(word if bare or not self.keeps_spaces else _SPACE + word)])
-            known[p] = own + marks[mark] if mark else own
-        for at in range(0, len(rest), 50_000):
-            part = rest[at : at + 50_000]
+        """The library's way for pieces that aren't plain."""
+        for at in range(0, len(pieces), 50_000):
+            part = pieces[at : at + 50_000]
             texts = part if not self.keeps_spaces else [p if p == "\n" else p[1:] if p.startswith(_BARE) else f" {p}" for p in part]
             one = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
             ends = np.searchsorted(np.array(one.word_ids, np.int64), np.arange(len(part) + 1)) * self.dtype.itemsize
             raw, ends = np.array(one.ids, self.dtype).tobytes(), ends.tolist()
-            known.update((p, raw[a:b]) for p, a, b in zip(part, ends[:-1], ends[1:], strict=True))
+            self.known.update((p, raw[a:b]) for p, a, b in zip(part, ends[:-1], ends[1:], strict=True))
 
     def by_step(self, texts: list[str | None], chars: int = 4_000_000) -> Iterable[list[bytes]]:
         """encode() over stretches of about so many characters, which bounds what a step holds."""
